@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import cut
+
 
 def call_edges(nodes: DataFrame, scope: list, node: str, targets: str) -> tuple[DataFrame, DataFrame]:
     """Edges to nodes of the same scope, and calls of nodes that are missing."""
@@ -90,7 +92,8 @@ def components(nodes: DataFrame, edges: DataFrame, scope: str, node: str) -> Dat
         return pd.DataFrame(rows, columns=[scope, node, "component", "component_size", "recursive", "level"])
 
     schema = f"`{scope}` {scope_kind}, `{node}` {kind}, component long, component_size long, recursive boolean, level long"
-    return nodes.select(scope, node).distinct().groupBy(scope).cogroup(edges.select(scope, "src", "dst").groupBy(scope)).applyInPandas(run, schema)
+    pairs = edges.select(F.col(scope).alias("_scope"), F.col("src").alias("_a"), F.col("dst").alias("_b")).toDF("_scope", "src", "dst")
+    return nodes.select(scope, node).distinct().groupBy(scope).cogroup(pairs.groupBy("_scope")).applyInPandas(run, schema)
 
 
 def on_cycle(edges: DataFrame, rounds: int) -> DataFrame:
@@ -99,7 +102,7 @@ def on_cycle(edges: DataFrame, rounds: int) -> DataFrame:
     hop = edges.select("src", "dst")
     for _ in range(rounds):
         far = hop.select(F.col("src").alias("dst"), F.col("dst").alias("_d"))
-        hop = hop.join(far, "dst").select("src", F.col("_d").alias("dst"))
+        hop = cut(hop.join(far, "dst").select("src", F.col("_d").alias("dst")), "hops")
     return hop.select(F.col("dst").alias("node")).distinct()
 
 
