@@ -8,10 +8,11 @@
    probability (uniform prior) that its similarity reaches the threshold is below `miss`.
 4. Survivors are verified exactly on full sets; verified links make components.
 
-Each bucket first tests one link a member (to the bucket's pivot). Only then members that are still in different
-components are compared, in blocks of bounded size; each two components send their best pairs first and stop when one
-is verified. So a bucket with a third of all rows makes links in proportion to its size, and no link that would join
-two components is left out.
+Each bucket first tests one link a member (to the bucket's pivot). Only buckets whose members are still in different
+components are compared further, in blocks of bounded size; a component with many members there has blocks of its own,
+which never meet each other. Such a task verifies what the batches leave, best pairs first, and skips pairs that its links
+already join, so it returns fewer links than it has members. A bucket with a third of all rows makes links in proportion
+to its size, and no link that would join two components is left out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +31,6 @@ from millrace.llm.common import SPACE, LOWER, bitmap_of, chunks, cut, in_bitmap,
 BANDS, ROWS, BATCH, BATCHES = 32, 4, 16, 4
 HASHES = BANDS * ROWS + BATCH * BATCHES
 BLOCK = 512
-FIRST_BEST = 16
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -107,7 +106,7 @@ def _sets(k: int, wanted: np.ndarray):
             for row, s in shingle_sets(batch.column(1), k):
                 if len(s) and in_bitmap(wanted, np.array([wanted_key(ids[row], d := _node(s))], np.int64))[0]:
                     node.append(d), sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.binary())], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "s"])
 
     return run
 
@@ -118,8 +117,8 @@ def wanted_key(doc_id: int | None, node: bytes) -> int:
 
 
 def _wanted_key_sql() -> F.Column:
-    high = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
-    return high.bitwiseXOR(F.coalesce("doc_id", F.lit(0)))
+    high = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    return high.bitwiseXOR(F.col("node"))
 
 
 def _pruned(percent: int, miss: float):
@@ -153,37 +152,63 @@ def _verified(percent: int):
     return run
 
 
-def _block_pairs(percent: int, miss: float, best: int):
-    """Members of two blocks of one bucket: pairs of different components that no batch prunes, the best of each two components."""
+def _links(left: list[tuple], right: list[tuple], same: bool, percent: int, least: list[int]) -> list[tuple[int, int]]:
+    """Links between members (node, label, sig, set) of two blocks (or of one) that join different components."""
+    sl, sr = (np.frombuffer(b"".join(m[2] for m in x), np.uint16).reshape(-1, BATCH * BATCHES) for x in (left, right))
+    cl, cr = (np.array([m[1] for m in x]) for x in (left, right))
+    i, j = np.nonzero(np.triu(cl[:, None] != cr[None, :], 1) if same else cl[:, None] != cr[None, :])
+    nl, nr = (np.array([len(m[3]) for m in x]) for x in (left, right))
+    fits = 100 * np.minimum(nl[i], nr[j]) >= percent * np.maximum(nl[i], nr[j])
+    i, j = i[fits], j[fits]
+    got = np.zeros(len(i), np.int32)
+    for t, need in enumerate(least):
+        at = slice(t * BATCH, (t + 1) * BATCH)
+        got += (sl[i, at] == sr[j, at]).sum(axis=1, dtype=np.int32)
+        i, j, got = (x[got >= need] for x in (i, j, got))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    sets, out = {}, []
+    for k in np.argsort(-got, kind="stable"):
+        a, b = left[i[k]], right[j[k]]
+        if (x := find(a[1])) == (y := find(b[1])):
+            continue
+        for m in (a, b):
+            if m[0] not in sets:
+                sets[m[0]] = np.frombuffer(m[3], np.uint64)
+        both = len(np.intersect1d(sets[a[0]], sets[b[0]], assume_unique=True))
+        if 100 * both >= percent * (len(sets[a[0]]) + len(sets[b[0]]) - both):
+            parent[x] = y
+            out.append((a[0], b[0]))
+    return out
+
+
+def _block_links(percent: int, miss: float):
+    """Over rows (key, ib, jb, side, node, label, sig, s) sorted by the first three; a group has two blocks' members at most."""
     least = least_matches(percent, miss)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] != 1].reset_index(drop=True), pdf[pdf["side"] != 0].reset_index(drop=True)
-        sl, sr = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, BATCH * BATCHES) for x in (left, right))
-        codes = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
-        cl, cr = codes[: len(left)], codes[len(left) :]
-        same = bool((pdf["side"] == 2).any())
-        found = []
-        for i in range(len(left)):
-            j = np.flatnonzero(cr != cl[i])
-            j = j[j > i] if same else j
-            got = np.zeros(len(j), np.int32)
-            for t, need in enumerate(least):
-                at = slice(t * BATCH, (t + 1) * BATCH)
-                got = got + (sr[j, at] == sl[i, at]).sum(axis=1, dtype=np.int32)
-                keep = got >= need
-                j, got = j[keep], got[keep]
-            if len(j):
-                found.append(np.stack([np.full(len(j), i), j, got], axis=1))
-        if not found:
-            return pd.DataFrame({"a": [], "b": [], "m": [], "more": []})
-        f = np.concatenate(found)
-        lo, hi = np.minimum(cl[f[:, 0]], cr[f[:, 1]]), np.maximum(cl[f[:, 0]], cr[f[:, 1]])
-        f = f[order := np.lexsort((f[:, 1], f[:, 0], -f[:, 2], hi, lo))]
-        pair = lo[order].astype(np.int64) * (codes.max() + 1) + hi[order]
-        rank = np.arange(len(f)) - np.searchsorted(pair, pair)
-        f, more = f[rank < best], bool((rank >= best).any())
-        return pd.DataFrame({"a": left["node"].to_numpy()[f[:, 0]], "b": right["node"].to_numpy()[f[:, 1]], "m": f[:, 2].astype(np.int32), "more": more})
+    def flush(group: list[tuple]) -> list[tuple[int, int]]:
+        left, right = [m[1:] for m in group if m[0] != 1], [m[1:] for m in group if m[0] != 0]
+        return _links(left, right, any(m[0] == 2 for m in group), percent, least) if left and right else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, out = [], None, []
+        for batch in batches:
+            keys = zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)
+            for key, *member in zip(keys, *(c.to_pylist() for c in batch.columns[3:]), strict=True):
+                if key != last:
+                    out += flush(group)
+                    group, last = [], key
+                group.append(tuple(member))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if out := flush(group):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -202,75 +227,66 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id (smallest doc_id of the component), kept (doc_id = component_id).
 
     Words are lower-cased (A-Z) runs without white space; links hold where 100 * intersection >= percent * union.
     Null texts and texts without words have no shingles and link with nothing; their component is their own doc_id.
-    Repeated rows are copies like any other. Rows with a null doc_id take part; a component of such rows only has a null
-    component_id and its rows are kept. Other columns are ignored. An empty table gives an empty result.
+    Repeated rows are copies like any other; rows that repeat a doc_id with another text are one document, which has the
+    links of all its texts. Rows with a null doc_id take no part: their component_id is null and they are kept. Other
+    columns are ignored. An empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "doc_id long, n long, node binary, bands array<long>, sig binary"
-    rows = cut(src.mapInArrow(_digests(k), schema), "digests")
-    nodes = cut(
-        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
-        "nodes",
-    )
-    member = nodes.select("node", F.explode("bands").alias("key"))
+    rows = cut(src.mapInArrow(_digests(k), "doc_id long, n long, node binary, bands array<long>, sig binary"), "digests")
+    # Equal sets are one node, called by its smallest doc_id.
+    named = rows.filter("node is not null and doc_id is not null").select("node", "doc_id")
+    firsts = cut(named.groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
+    own = rows.select("node", "doc_id", "bands", "sig").join(firsts.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    nodes = cut(own.dropDuplicates(["node", "doc_id"]), "nodes")
+    member = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     pivots = member.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last").select("key", "pivot")
-    buckets = cut(member.join(pivots, "key"), "buckets")
-    sigs = nodes.select("node", "sig")
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    bitmap = bitmap_of(wanted.select(_wanted_key_sql().alias("h")), "h")
-    sets = cut(src.mapInArrow(_sets(k, bitmap), "node binary, s binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    buckets = cut(member.join(pivots, "key").distinct(), "buckets")
+    wanted = buckets.select("node").distinct()
+    few = nodes.select(F.col("doc_id").alias("node"), F.col("node").alias("digest"), "sig").join(wanted, "node", "left_semi")
+    few = cut(few, "few")
+    sigs = few.select("node", "sig")
+    bitmap = bitmap_of(few.select(_wanted_key_sql().alias("h")), "h")
+    found = src.mapInArrow(_sets(k, bitmap), "digest binary, s binary")
+    sets = cut(found.join(few.select("node", "digest"), "digest").dropDuplicates(["digest"]).select("node", "s"), "sets")
 
     def with_both(pairs: DataFrame, side: DataFrame, col: str) -> DataFrame:
         one = pairs.join(side.select(F.col("node").alias("a"), F.col(col).alias("x")), "a")
         return one.join(side.select(F.col("node").alias("b"), F.col(col).alias("y")), "b").select("a", "b", "x", "y")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return cut(with_both(pairs, sets, "s").mapInArrow(_verified(percent), "a binary, b binary, ok boolean"), "verified")
-
     star = buckets.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    alive = with_both(star, sigs, "sig").mapInArrow(_pruned(percent, miss), "a binary, b binary, m int")
-    tested = verify(alive.groupBy("a").agg(F.max(F.struct("m", "b")).alias("t")).select("a", F.col("t.b").alias("b")))
-    links, best = tested.filter("ok").select("a", "b"), FIRST_BEST
+    alive = with_both(star, sigs, "sig").mapInArrow(_pruned(percent, miss), "a long, b long, m int")
+    best = alive.groupBy("a").agg(F.max(F.struct("m", "b")).alias("t")).select("a", F.col("t.b").alias("b"))
+    links = cut(with_both(best, sets, "s").mapInArrow(_verified(percent), "a long, b long, ok boolean").filter("ok").select("a", "b"), "links")
     labels = components(links)
-    while True:
-        named = buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        rest = F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0))
-        mixed = sizes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.greatest(F.ceil(rest / BLOCK), F.lit(1)).alias("blocks")).filter("lo != hi")
-        # A component with many members in a bucket has blocks of its own, which are never compared with each other.
-        named = named.join(sizes.join(mixed.select("key", "blocks"), "key"), ["key", "label"])
-        own = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))
-        named = named.select("key", "node", "label", F.when(F.col("c") >= BLOCK, own).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
-        info = named.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        x, y = (info.select("key", F.col("block").alias(f"{s}b"), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in "ij")
-        tasks = x.join(y, "key").filter("ib <= jb and (ilo != jhi or ihi != jlo)").select("key", "ib", "jb")
-        sided = tasks.select("key", "ib", "jb", F.explode(F.when(F.expr("ib = jb"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-        sided = sided.withColumn("block", F.when(F.col("side") == 1, F.col("jb")).otherwise(F.col("ib")))
-        work = named.join(sided, ["key", "block"]).join(sigs, "node").select("key", "ib", "jb", "side", "node", "label", "sig")
-        # Many buckets hold the same two or three members: one task for each set of members and components.
-        group = work.groupBy("key", "ib", "jb").agg(F.bit_xor(F.xxhash64("node", "side", "label")).alias("same"))
-        first = group.groupBy("same").agg(F.min(F.struct("key", "ib", "jb")).alias("t")).select("t.*")
-        found = cut(work.join(first, ["key", "ib", "jb"], "left_semi").groupBy("key", "ib", "jb").applyInPandas(_block_pairs(percent, miss, best), "a binary, b binary, m int, more boolean"), "pairs")
-        fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        now = verify(fresh.join(done, ["a", "b"], "left_anti"))
-        tested = tested.union(now)
-        if now.filter("ok").limit(1).count():
-            links = links.union(now.filter("ok").select("a", "b"))
-            labels = components(links)
-        if not found.filter("more").limit(1).count():
-            break
-        best *= 8
-    names = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = names.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    names = names.join(least, "label").select("node", "component_id")
+
+    named = buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    rest = F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0))
+    mixed = sizes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.greatest(F.ceil(rest / BLOCK), F.lit(1)).alias("blocks")).filter("lo != hi")
+    named = named.join(sizes.join(mixed.select("key", "blocks"), "key"), ["key", "label"])
+    alone = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))
+    named = named.select("key", "node", "label", F.when(F.col("c") >= BLOCK, alone).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    # Many buckets hold the same members: one of them stands for all.
+    info = named.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("same"), F.count(F.lit(1)).alias("n"))
+    left, right = (info.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("block", "lo", "hi", "same", "n")]) for s in "ij")
+    tasks = left.join(right, "key").filter("iblock <= jblock and (ilo != jhi or ihi != jlo)")
+    tasks = tasks.groupBy("isame", "jsame", "in", "jn").agg(F.min(F.struct("key", F.col("iblock").alias("ib"), F.col("jblock").alias("jb"))).alias("t")).select("t.*")
+    sides = F.explode(F.when(F.col("ib") == F.col("jb"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))
+    sided = tasks.withColumn("side", sides).withColumn("block", F.when(F.col("side") == 1, F.col("jb")).otherwise(F.col("ib")))
+    work = named.join(sided, ["key", "block"]).select("key", "ib", "jb", "side", "node", "label")
+    work = work.join(sigs, "node").join(sets, "node").select("key", "ib", "jb", "side", "node", "label", "sig", "s")
+    work = work.repartition("key", "ib", "jb").sortWithinPartitions("key", "ib", "jb")
+    more = cut(work.mapInArrow(_block_links(percent, miss), "a long, b long"), "more-links")
+    labels = components(links.union(more)) if more.limit(1).count() else labels
+
+    names = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("label", "first").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
