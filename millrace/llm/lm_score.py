@@ -25,6 +25,7 @@ from millrace.llm.common import LOWER, MIX, SPACE, STEP, chunks, mix, powers, sp
 
 START = np.uint64(0x51ED270B0B5C4E21)
 SLICE = 1 << 22
+LEAST_PARTS, PART_TOKENS = 64, 4_000_000
 
 
 def word_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -63,13 +64,23 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
 def _blocks(parts: int):
+    """A slice's rows (p, slice, size, h, row, count, and in one of them the documents' ids, token counts and flags)."""
     powers(1)
-    names = ["p", "rid", "doc_id", "n", "target", "size", "h", "at", "c"]
+    names = ["p", "slice", "size", "h", "at", "c", "flags", "doc_id", "n", "target"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd", compression_level=1)
-        base = TaskContext.get().partitionId() << 36
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             ids, target = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, h, first in word_slices(batch.column(1), SLICE):
@@ -82,55 +93,63 @@ def _blocks(parts: int):
                 new = np.ones(len(pair), bool)
                 new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
                 at = np.flatnonzero(new)
-                pair, row, count = pair[at], row[at].astype(np.uint32), np.diff(np.append(at, len(new))).astype(np.uint32)
+                pair, row, count = pair[at], row[at], np.diff(np.append(at, len(new)))
                 bounds = np.searchsorted(pair, (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64))
-                cols = {k: [] for k in names}
+                flags = np.packbits(target[lo:hi]).tobytes()
+                cols: dict[str, list] = {k: [] for k in names}
                 for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(pair)], strict=True)):
-                    mine = np.flatnonzero((np.arange(lo, hi) + base) % parts == p)
-                    docs = np.union1d(np.unique(row[a:b]), mine)
-                    if not len(docs):
+                    mine = p == number % parts
+                    if a == b and not mine:
                         continue
-                    raw = [pack(pair[a:b]), np.searchsorted(docs, row[a:b]).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), count[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()]
-                    made = [p, docs + base + lo, ids.take(pa.array(docs + lo)).to_pylist(), n[docs], target[lo:hi][docs], b - a, *(zstd.compress(x, asbytes=True) if x else b"" for x in raw)]
-                    for k, v in zip(names, made, strict=True):
+                    raw = [pack(pair[a:b]), planes(row[a:b]), planes(count[a:b])]
+                    about = [ids[lo:hi].to_pylist(), n, target[lo:hi]] if mine else [None] * 3
+                    for k, v in zip(names, [p, number, b - a, *(zstd.compress(x, asbytes=True) for x in raw), flags, *about], strict=True):
                         cols[k].append(v)
-                kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in zip(names, kinds, strict=True)], names=names)
-            base += len(ids)
+                number += 1
 
     return run
 
 
 def _losses(prior: float):
-    def planes(zstd: pa.Codec, b: bytes, size: int) -> np.ndarray:
-        return np.frombuffer(zstd.decompress(b, size * 4, asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() if size else np.zeros(0, np.uint32)
+    """Per slice of a part: rows with entries here, and their sums of count * log(count elsewhere + prior) in both models."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        zstd = pa.Codec("zstd")
-        rid, doc, n, target = (np.concatenate(pdf[c].to_numpy()) for c in ("rid", "doc_id", "n", "target"))
-        shift = np.concatenate([[0], np.cumsum([len(x) for x in pdf["rid"]])])
-        h, at, c = [], [], []
-        for i, (size, bh, ba, bc) in enumerate(zip(pdf["size"], pdf["h"], pdf["at"], pdf["c"], strict=True)):
-            if size:
-                h.append(unpack(zstd.decompress(bh, size * 8, asbytes=True)))
-                at.append(planes(zstd, ba, size) + np.uint32(shift[i]))
-                c.append(planes(zstd, bc, size))
-        out = {"rid": rid, "doc_id": doc, "n": n, "target": target, "log_t": np.zeros(len(rid)), "log_b": np.zeros(len(rid))}
-        if h:
-            h, at, c = np.concatenate(h), np.concatenate(at), np.concatenate(c)
-            order = np.argsort(h, kind="stable")
-            h, at, c = h[order], at[order], c[order].astype(np.int64)
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            reps = np.diff(np.append(new, len(h)))
-            del h, order
-            for name, weight in (("log_b", c), ("log_t", c * target.astype(bool)[at])):
-                rest = np.repeat(np.add.reduceat(weight, new), reps) - weight
-                out[name] = np.bincount(at, weights=c * np.log(rest + prior), minlength=len(rid))
-        return pd.DataFrame(out)
+        zstd = pa.Codec("zstd", compression_level=1)
+        size = pdf["size"].to_numpy()
+        h, at, c = ([f(zstd.decompress(b, n * w, asbytes=True)) for b, n in zip(pdf[k], size, strict=True)] for k, f, w in (("h", unpack, 8), ("at", unplanes, 4), ("c", unplanes, 4)))
+        h, at, c, part = np.concatenate(h), np.concatenate(at), np.concatenate(c).astype(np.int64), np.repeat(np.arange(len(size)), size)
+        order = np.argsort(h, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
+        reps = np.diff(np.append(new, len(h)))
+        target = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[a] for f, a in zip(pdf["flags"], np.split(at, np.cumsum(size)[:-1]), strict=True)]).astype(np.int64)
+        key = part.astype(np.int64) << 32 | at
+        docs, of = np.unique(key, return_inverse=True)
+        sums = []
+        for weight in (c * target, c):
+            w = weight[order]
+            rest = np.empty(len(h))
+            rest[order] = (np.repeat(np.add.reduceat(w, new), reps) - w) if len(h) else w
+            sums.append(np.bincount(of, weights=c * np.log(rest + prior), minlength=len(docs)).astype(np.float32))
+        ends = np.searchsorted(docs >> 32, np.arange(len(size) + 1))
+        pieces = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in ((docs & 0xFFFFFFFF).astype(np.uint32), *sums)]
+        return pd.DataFrame({"slice": pdf["slice"], "at": [zstd.compress(x, asbytes=True) for x in pieces[0]], "t": pieces[1], "b": pieces[2], "doc_id": pdf["doc_id"], "n": pdf["n"], "target": pdf["target"]})
 
     return run
 
 
+def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a slice's documents over all parts."""
+    zstd = pa.Codec("zstd", compression_level=1)
+    about = pdf[pdf["doc_id"].notna()].iloc[0]
+    t, b = np.zeros(len(about["n"])), np.zeros(len(about["n"]))
+    for at, x, y in zip(pdf["at"], pdf["t"], pdf["b"], strict=True):
+        i = np.frombuffer(zstd.decompress(at, len(x), asbytes=True), np.uint32)
+        t[i] += np.frombuffer(x, np.float32)
+        b[i] += np.frombuffer(y, np.float32)
+    return pd.DataFrame({"doc_id": pd.array(list(about["doc_id"]), "Int64"), "n_tokens": about["n"], "is_target": about["target"], "t": t, "b": b})
+
+
 def cross_entropy_difference(docs: DataFrame, is_target, id_col: str = "doc_id", text_col: str = "text", mass: float = 1.0, parts: int | None = None) -> DataFrame:
     """Per input row: doc_id, n_tokens, is_target, loss_target, loss_background, score (their difference).
 
@@ -138,18 +157,17 @@ def cross_entropy_difference(docs: DataFrame, is_target, id_col: str = "doc_id",
     three others. A null is_target counts as false. Null and repeated ids stay rows of their own; repeated rows count
     each. With an empty target all its losses are those of the uniform model. Empty tables give no rows.
     """
-    spark = docs.sparkSession
     target = F.coalesce(is_target, F.lit(False))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), target.alias("target"))
     words = src.select("text", "target").mapInArrow(_vocabulary, "w long, n_all long, n_target long")
     per_word = words.groupBy("w").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t"))
     v, n_all, n_target = per_word.agg(F.count("w"), F.sum("a"), F.sum("t")).first()
     n_all, n_target = n_all or 0, n_target or 0
-    parts = parts or 2 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = "p int, rid array<long>, doc_id array<long>, n array<int>, target array<boolean>, size long, h binary, at binary, c binary"
+    parts = parts or max(LEAST_PARTS, n_all // PART_TOKENS)
+    schema = "p int, slice long, size long, h binary, at binary, c binary, flags binary, doc_id array<long>, n array<long>, target array<boolean>"
     blocks = src.mapInArrow(_blocks(parts), schema)
-    sums = blocks.groupBy("p").applyInPandas(_losses(mass / (v + 1) ** 2), "rid long, doc_id long, n int, target boolean, log_t double, log_b double")
-    one = sums.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n").cast("long").alias("n_tokens"), F.first("target").alias("is_target"), F.sum("log_t").alias("t"), F.sum("log_b").alias("b"))
+    sums = blocks.groupBy("p").applyInPandas(_losses(mass / (v + 1) ** 2), "slice long, at binary, t binary, b binary, doc_id array<long>, n array<long>, target array<boolean>")
+    one = sums.groupBy("slice").applyInPandas(_by_document, "doc_id long, n_tokens long, is_target boolean, t double, b double")
     own = F.when(F.col("is_target"), F.col("n_tokens")).otherwise(0)
     loss = lambda s, total: F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.log(total + F.lit(mass)) - F.col(s) / F.col("n_tokens"))
     out = one.select("doc_id", "n_tokens", "is_target", loss("t", F.lit(n_target) - own).alias("loss_target"), loss("b", F.lit(n_all) - F.col("n_tokens")).alias("loss_background"))
