@@ -1,7 +1,7 @@
 """Writing files of raw bytes through Spark's text writer, to any store that Spark can write.
 
-The writer puts a row's bytes and then the line separator. Both formats made here end each record with a zero byte, so the
-row leaves that byte out and the separator "\\0" supplies it: the files hold exactly the records, with Spark's commit
+The writer puts a row's bytes and then the line separator. All records of a format end with one and the same ASCII byte, so
+the row leaves that byte out and the separator supplies it: the files hold exactly the records, with Spark's commit
 protocol behind them. binaryFile reads them back.
 """
 
@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_records(records: DataFrame, column: str, path: str, records_per_file: int) -> None:
-    """One or more files a task; a file holds whole records, records_per_file at most. The column: records without their last byte, 0."""
+def write_records(records: DataFrame, column: str, path: str, records_per_file: int, last: str = "\0") -> None:
+    """One or more files a task; a file holds whole records, records_per_file at most. The column: records without their last byte, which is `last`."""
     rows = records.select(F.col(column).cast("string").alias("value"))
-    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).option("compression", "none").mode("errorifexists").text(path)
+    rows.write.option("lineSep", last).option("maxRecordsPerFile", records_per_file).option("compression", "none").mode("errorifexists").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

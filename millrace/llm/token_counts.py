@@ -1,7 +1,7 @@
 """Token counts of the documents in flat, unindexed token files, by a separator scan.
 
-A file is a run of 32-bit little-endian ids; every document is three marker ids (its doc_id in 22-bit digits, from 2^24 up),
-its tokens, and the end-of-document id. Files are cut into blocks of equal size. Each block is searched for separators with
+A file is a run of 16-bit big-endian ids; every document is five marker ids (its doc_id in 13-bit digits, counted from the
+first id above the end-of-document id), its tokens, and the end-of-document id. Files are cut into blocks of equal size. Each block is searched for separators with
 one vectorised comparison, knowing nothing of its neighbours; it reports the documents inside it and the pieces at its
 ends. A prefix scan over a file's blocks numbers the separators and stitches pieces to documents across any number of blocks.
 """
@@ -24,7 +24,10 @@ TOKENIZERS = "/opt/tokenizers"
 #: The public pattern that splits a text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EOD = 50256
-MARK, DIGIT = 1 << 24, 22
+ID = np.dtype(">u2")
+MARK, DIGIT, DIGITS = EOD + 1, 13, 5
+#: The last byte of the end-of-document id, written as the separator of records.
+LAST = chr(EOD & 0xFF)
 BLOCK_IDS = 1 << 18
 PIECE = 1 << 16
 
@@ -38,25 +41,26 @@ def load_encoder(folder: str, ranks: str = "byte_bpe_50k.tiktoken"):
 
 
 def marker(doc_id: int | None) -> np.ndarray:
-    n = (1 << 65) if doc_id is None else doc_id & (1 << 64) - 1
-    return np.array([MARK + (n >> DIGIT * k & (1 << DIGIT) - 1) for k in (2, 1, 0)], "<u4")
+    n = (1 << 64) if doc_id is None else doc_id & (1 << 64) - 1
+    return np.array([MARK + (n >> DIGIT * k & (1 << DIGIT) - 1) for k in reversed(range(DIGITS))], ID)
 
 
 def from_marker(digits) -> int | None:
-    n = sum((int(d) - MARK) << DIGIT * k for d, k in zip(digits, (2, 1, 0), strict=True))
-    return None if n >> 65 else n - (1 << 64) if n >> 63 else n
+    n = sum((int(d) - MARK) << DIGIT * k for d, k in zip(digits, reversed(range(DIGITS)), strict=True))
+    return None if n >> 64 else n - (1 << 64) if n >> 63 else n
 
 
 def _records(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(folder)
-        end = np.array([EOD], "<u4").tobytes()
-        assert end[-1] == 0
+        if encoder.max_token_value >= EOD:
+            raise ValueError("the vocabulary's ids reach the end-of-document id")
+        end = np.array([EOD], ID).tobytes()
         for batch in batches:
             out, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoder.encode_ordinary(text.as_py() or "")
-                out.append(marker(doc_id).tobytes() + np.array(ids, "<u4").tobytes() + end[:-1])
+                out.append(marker(doc_id).tobytes() + np.array(ids, ID).tobytes() + end[:-1])
                 size += len(out[-1])
                 if size > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
@@ -68,7 +72,7 @@ def _records(folder: str):
 
 def write_token_files(docs: DataFrame, path: str, folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 5000) -> None:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    write_records(src.mapInArrow(_records(folder), "record binary"), "record", path, docs_per_file)
+    write_records(src.mapInArrow(_records(folder), "record binary"), "record", path, docs_per_file, LAST)
 
 
 def scan_block(block: np.ndarray) -> tuple[int, list, list, list, list, int, int]:
@@ -79,26 +83,26 @@ def scan_block(block: np.ndarray) -> tuple[int, list, list, list, list, int, int
     head, tail = block[mark[mark < lo]].tolist(), block[mark[mark >= hi]].tolist()
     n_head, n_tail = int(lo) - len(head), max(0, len(block) - int(hi)) - len(tail)
     starts, ends = (at[:-1] + 1, at[1:]) if len(at) > 1 else (at[:0], at[:0])
-    ids = [from_marker(block[s : s + 3]) for s in starts]
-    return len(at), head, tail, ids, (ends - starts - 3).tolist(), n_head, n_tail
+    ids = [from_marker(block[s : s + DIGITS]) for s in starts]
+    return len(at), head, tail, ids, (ends - starts - DIGITS).tolist(), n_head, n_tail
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["path", "block", "n_sep", "head", "tail", "ids", "counts", "n_head", "n_tail"]
     kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.int64(), pa.int64()]
     for batch in batches:
-        rows = [scan_block(np.frombuffer(b.as_buffer(), "<u4")) for b in batch.column(2)]
+        rows = [scan_block(np.frombuffer(b.as_buffer(), ID).astype(np.uint16)) for b in batch.column(2)]
         cols = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), *map(list, zip(*rows, strict=True))] if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
 def count_tokens(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(doc_id, n_tokens) of every document in the token files under path; separators and markers are not tokens."""
-    size = block_ids * 4
+    size = block_ids * ID.itemsize
     files = read_files(spark, path)
     n_blocks = F.greatest(F.ceil(F.col("length") / size), F.lit(1)).cast("int")
-    blocks = files.select("path", "content", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
-    blocks = blocks.select("path", F.col("block").cast("long").alias("block"), F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("ids"))
+    pieces = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.struct(i.cast("long").alias("block"), F.substring(F.col("content"), i * size + 1, F.lit(size)).alias("ids")))
+    blocks = files.select("path", F.explode(pieces).alias("b")).select("path", "b.block", "b.ids")
     schema = "path string, block long, n_sep long, head array<long>, tail array<long>, ids array<long>, counts array<long>, n_head long, n_tail long"
     scans = blocks.mapInArrow(_scan, schema)
     # Pieces: a head belongs to the separators before its block, a tail to those up to its end.
@@ -110,9 +114,10 @@ def count_tokens(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) ->
     pieces = head.union(tail).groupBy("path", "document").agg(
         F.sum("n").alias("n_tokens"), F.max("closed").alias("closed"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "part", "marks"))), lambda p: p["marks"])).alias("m")
     )
-    n = [F.col("m")[k] - MARK for k in range(3)]
-    high = F.col("m")[0] - MARK
-    doc_id = F.when(high < (1 << 21), F.shiftleft(n[0], 2 * DIGIT).bitwiseOR(F.shiftleft(n[1], DIGIT)).bitwiseOR(n[2]))
+    doc_id = F.lit(0).cast("long")
+    for k in range(DIGITS):
+        doc_id = F.shiftleft(doc_id, DIGIT).bitwiseOR(F.col("m")[k] - MARK)
+    doc_id = F.when(F.col("m")[0] - MARK < (1 << 64 - DIGIT * (DIGITS - 1)), doc_id)
     stitched = pieces.filter("closed").select(doc_id.alias("doc_id"), "n_tokens")
     return inside.union(stitched)
 
