@@ -71,9 +71,10 @@ def best_overlap(left: DataFrame, right: DataFrame, group_l: str, group_r: str,
     Both tables hold distinct (group, item) rows; the join meets on items, never on pairs of groups."""
     sizes = left.groupBy(group_l).agg(F.count(F.lit(1)).alias("n_items"))
     common = left.join(right, item).groupBy(group_l, group_r).agg(F.count(F.lit(1)).alias("n_common"))
-    best = common.groupBy(group_l).agg(F.max_by(F.struct(group_r, "n_common"), F.struct("n_common", F.lit(0))).alias("m"), F.max("n_common").alias("top"))
-    tied = common.join(best.select(group_l, "top"), group_l).filter("n_common = top").groupBy(group_l, "n_common").agg(F.min(group_r).alias(group_r))
-    return tied.join(sizes, group_l).filter(F.col("n_common") >= F.col("n_items") * least_share).select(group_l, group_r, "n_common", "n_items")
+    # The least of (-count, group) is the most frequent group with the smallest name.
+    best = common.groupBy(group_l).agg(F.min(F.struct((-F.col("n_common")).alias("less"), F.col(group_r))).alias("m"))
+    best = best.select(group_l, F.col(f"m.{group_r}").alias(group_r), (-F.col("m.less")).alias("n_common"))
+    return best.join(sizes, group_l).filter(F.col("n_common") >= F.col("n_items") * least_share).select(group_l, group_r, "n_common", "n_items")
 
 
 def lower_bound(points: DataFrame, starts: DataFrame, scope: str, at: str, payload: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def read_catalogs(spark: SparkSession, paths: list[str], schema: str, key: str)
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(id, ordinal) of one file's lines, trimmed; the file is read whole, so the order holds."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     out = lines.select(F.posexplode(F.split("value", "\n")).alias("ordinal", "id")).select(F.trim("id").alias("id"), F.col("ordinal").cast("long"))
     return out.filter("id != ''")
 
