@@ -6,9 +6,11 @@ codes modulo 2^64, taken from one prefix sum a chunk, so its cost does not depen
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 BITMAP_BITS = 1 << 23
+#: Text that one Arrow batch takes to Python; the default limit of rows alone lets long texts make batches of any size.
+BATCH_BYTES = 4 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+WORD_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +51,28 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop_path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the bytes of Arrow batches in this session, unless a limit lower than Spark's own is set already."""
+    now = spark.conf.get(BATCH_KEY).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, a generator over batches; after each batch unused memory goes back to the system, as idle workers would keep it."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator) -> Iterator:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        for batch in run(batches):
+            yield batch
+            pa.default_memory_pool().release_unused()
+            if trim:
+                trim(0)
+
+    return out
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark, schema = df.sparkSession, df.schema
@@ -138,14 +166,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(BYTE_CODES[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MIX)
+    """A mixed 64-bit hash of each word's bytes. Works through WORD_BYTES at a time, so that memory does not follow the text."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + WORD_BYTES, "right")))
+        part, s, e = data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base
+        up, down = powers(len(part) + 1)
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(BYTE_CODES[part] * up[: len(part)], out=total[1:])
+        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * MIX)
+        i = j
+    return out
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

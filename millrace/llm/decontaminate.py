@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, NOT_ALNUM, bitmap_of, chunks, cut, in_bitmap, powers, spans, windows, word_hashes
+from millrace.llm.common import LOWER, NOT_ALNUM, bitmap_of, bound_batches, chunks, cut, in_bitmap, powers, spans, trimmed, windows, word_hashes
 
 WINDOW = 8
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA1B2C3D4E5F60711, 0xB1C2D3E4F5061723, 0xC1D2E3F405162735))
@@ -97,7 +97,7 @@ def _item_windows(size: int):
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in zip(cols, kinds, strict=True)], names=list(cols))
 
-    return run
+    return trimmed(run)
 
 
 def _doc_windows(sizes: list[int], bitmap: np.ndarray):
@@ -109,7 +109,7 @@ def _doc_windows(sizes: list[int], bitmap: np.ndarray):
             ids = batch.column(0).take(pa.array(got["row"], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(got["h"], pa.int64()), pa.array(got["pos"], pa.int64()), pa.array(got["slots"], pa.list_(pa.int64()))], names=["doc_id", "h", "pos", "slots"])
 
-    return run
+    return trimmed(run)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -118,6 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts hold nothing; items without words are never held. Rows with a null id are left out. Repeated
     documents or items give one row for each two ids. Empty tables give no rows. Other columns are ignored."""
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter("item_id is not null")
     items = items.mapInArrow(_item_windows(window), "item_id long, n long, k int, h long, pos long, slots array<long>")
     items = cut(items, "items")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import MIX, mix
+from millrace.llm.common import MIX, bound_batches, mix, trimmed
 
 SLOTS = 1 << 20
 HASHES = 3
@@ -128,9 +128,10 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_languages(train: DataFrame, lang_col: str = "lang", text_col: str = "text", least_share: float = 2e-5) -> LanguageFilter:
     """Learn from all rows with a language. At most 1 / least_share trigrams a language come to the driver."""
+    bound_batches(train.sparkSession)
     src = train.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = sorted((r["lang"], r["n"]) for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
-    grams = src.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = src.mapInArrow(trimmed(_gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     often = grams.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * least_share).select("lang", "gram")
     got: dict[str, list[int]] = {n: [] for n, _ in names}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, LOWER, bitmap_of, chunks, cut, in_bitmap, mix, powers, spans, windows, word_hashes
+from millrace.llm.common import LOWER, SPACE, bitmap_of, bound_batches, chunks, cut, in_bitmap, mix, powers, spans, trimmed, windows, word_hashes
 
 BANDS, ROWS, BATCH, BATCHES = 32, 4, 16, 4
 HASHES = BANDS * ROWS + BATCH * BATCHES
@@ -96,7 +96,7 @@ def _digests(k: int):
                 bands.append(made[0]), sig.append(made[1])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(v, t) for v, (_, t) in zip((n, node, bands, sig), fields[1:], strict=True))], names=[f for f, _ in fields])
 
-    return run
+    return trimmed(run)
 
 
 def _sets(k: int, wanted: np.ndarray):
@@ -108,7 +108,7 @@ def _sets(k: int, wanted: np.ndarray):
                     node.append(d), sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "s"])
 
-    return run
+    return trimmed(run)
 
 
 def wanted_key(doc_id: int | None, node: bytes) -> int:
@@ -136,7 +136,7 @@ def _pruned(percent: int, miss: float):
             idx = pa.array(alive)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(idx), batch.column(1).take(idx), pa.array(got[alive], pa.int32())], names=["a", "b", "m"])
 
-    return run
+    return trimmed(run)
 
 
 def _verified(percent: int):
@@ -149,7 +149,7 @@ def _verified(percent: int):
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return run
+    return trimmed(run)
 
 
 def _links(left: list[tuple], right: list[tuple], same: bool, percent: int, least: list[int]) -> list[tuple[int, int]]:
@@ -210,7 +210,7 @@ def _block_links(percent: int, miss: float):
         if out := flush(group):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links of all its texts. Rows with a null doc_id take no part: their component_id is null and they are kept. Other
     columns are ignored. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = cut(src.mapInArrow(_digests(k), "doc_id long, n long, node binary, bands array<long>, sig binary"), "digests")
     # Equal sets are one node, called by its smallest doc_id.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, chunks, word_hashes
+from millrace.llm.common import LOWER, bound_batches, chunks, word_hashes
 from millrace.llm.lang_id import fold
 
 BUCKETS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 14, 48, 6, 2, 24
@@ -144,6 +144,7 @@ def train_model(texts: pa.Array, labels: np.ndarray, steps: int = 600, seed: int
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> QualityModel:
     """Fit on the max_rows labelled rows with the smallest hash of the id (all, if fewer). Rows with a null id or label are
     left out; an id with several labels takes the smallest. Only that bounded sample comes to the driver."""
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"))
     sample = known.orderBy(F.xxhash64("i"), "i").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("i", "t", "y").limit(2 * max_rows).collect()

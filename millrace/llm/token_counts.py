@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path
+from millrace.llm.common import bound_batches, new_path
 from millrace.llm.flat_files import read_files, write_records
 
 TOKENIZERS = "/opt/tokenizers"
@@ -127,6 +127,7 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, id_col: str = "doc_i
 
     Null and empty texts have 0 tokens; null and repeated ids keep rows of their own; an empty table gives no rows. The
     tokenizer never takes text for a special token, so no text holds the separator."""
+    bound_batches(docs.sparkSession)
     path = new_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, folder, id_col, text_col, docs_per_file)
     return count_tokens(docs.sparkSession, path, block_ids)
