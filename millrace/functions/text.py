@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QUOTED = r'"(?:\\.|[^"\\])*"'
+#: Unrolled, so that Java's matcher does not recurse for each character of a long string.
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 CONTEXT, DECOMPILED = "\n; context\n", "\n; decompiled\n"
 
 
@@ -45,7 +46,8 @@ def token_estimate(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[\p{L}]+(?:['’][\p{L}]+)*")).cast("long")
+    """Runs of letters and digits, with one apostrophe inside at most."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?")).cast("long")
 
 
 def normal_asm(text: Column) -> Column:
@@ -89,8 +91,10 @@ def direct_calls(text: Column) -> Column:
 
 
 def inner_calls(text: Column, most: int = 8) -> Column:
-    """Distinct targets in first-seen order, operands and `; -> sub_x` comments alike."""
-    found = F.transform(lines(text), lambda x: F.when(F.regexp_like(x, F.lit(r"^\s*(call|jmp)")), F.regexp_extract(x, r"(sub_[0-9a-fA-F]+)\s*$", 1)).otherwise(""))
+    """Distinct targets in first-seen order: what a `; -> sub_x` at the end of the line names, else the operand."""
+    noted = lambda x: F.regexp_extract(x, r"^\s*(?:call|jmp)\w*\s.*;\s*->\s*(sub_[0-9a-f]+)\s*$", 1)
+    operand = lambda x: F.regexp_extract(x, r"^\s*(?:call|jmp)\w*\s+(sub_[0-9a-f]+)\b", 1)
+    found = F.transform(lines(text), lambda x: F.when(noted(x) != "", noted(x)).otherwise(operand(x)))
     return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, most)
 
 

@@ -120,7 +120,7 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("n_tokens"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}]+(?:[''’][\p{L}]+)*')) AS BIGINT) AS n_words FROM documents""")
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?')) AS BIGINT) AS n_words FROM documents""")
 def word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
 
