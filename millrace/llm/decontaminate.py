@@ -2,9 +2,11 @@
 
 Texts are canonicalised: numbers, capitalised words inside a sentence and units after a number become typed placeholders,
 other words are lower-cased letters and digits. Windows of eight template words of documents are hash-joined with those of
-the benchmark items (an item of fewer words is one window). A document holds an item if it has at least `coverage` of the
-item's windows and the slots agree: an item's slot value must stand for the same value of the document each time it occurs,
-and two slot values of the item for different ones. So questions with other numbers or names are caught as well.
+the benchmark items (an item of fewer words is one window). A document holds an item if at least `coverage` of the item's
+windows are found and count, so questions with other numbers or names are caught as well. Numbers and units are free: equal
+ones of the item may be different quantities and different ones may become equal. A window counts if each name in it is the
+item's own, or the one that stands for it at most of its places in the passage. If a name has no such majority, the passage
+mixes up who is who, and only the windows with the item's own names (or none) count.
 
 A bitmap of the items' window hashes (of fixed size) is looked up before the join, so that few other windows are shuffled.
 """
@@ -62,14 +64,16 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _window_rows(rows: Iterator[tuple[int, np.ndarray, np.ndarray]], sizes: list[int], keep) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("row", "h", "pos", "slots")}
+    out: dict[str, list] = {k: [] for k in ("row", "h", "pos", "slots", "name_at")}
     for row, template, value in rows:
         for k in sizes:
             h = windows(template, k).view(np.int64)
             at = np.flatnonzero(keep(h)) if len(h) else []
             for i in at:
                 out["row"].append(row), out["h"].append(int(h[i])), out["pos"].append(int(i))
-                out["slots"].append(value[i : i + k][value[i : i + k] != 0].view(np.int64))
+                at_slot = i + np.flatnonzero(value[i : i + k])
+                out["slots"].append(value[at_slot].view(np.int64))
+                out["name_at"].append(np.where(template[at_slot] == NAME, at_slot, -1))
     return out
 
 
@@ -85,16 +89,16 @@ def _item_windows(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("item_id", "n", "k", "h", "pos", "slots")}
+            cols: dict[str, list] = {k: [] for k in ("item_id", "n", "k", "h", "pos", "slots", "name_at")}
             ids = batch.column(0).to_pylist()
             for row, template, value in _rows(batch.column(1)):
                 k = min(size, len(template))
                 if k:
                     got = _window_rows(iter([(row, template, value)]), [k], lambda h: np.ones(len(h), bool))
                     m = len(got["h"])
-                    for c, v in (("item_id", [ids[row]] * m), ("n", [m] * m), ("k", [k] * m), ("h", got["h"]), ("pos", got["pos"]), ("slots", got["slots"])):
+                    for c, v in (("item_id", [ids[row]] * m), ("n", [m] * m), ("k", [k] * m), ("h", got["h"]), ("pos", got["pos"]), ("slots", got["slots"]), ("name_at", got["name_at"])):
                         cols[c] += v
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in zip(cols, kinds, strict=True)], names=list(cols))
 
     return trimmed(run)
@@ -120,25 +124,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     documents or items give one row for each two ids. Empty tables give no rows. Other columns are ignored."""
     bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter("item_id is not null")
-    items = items.mapInArrow(_item_windows(window), "item_id long, n long, k int, h long, pos long, slots array<long>")
+    items = items.mapInArrow(_item_windows(window), "item_id long, n long, k int, h long, pos long, slots array<long>, name_at array<long>")
     items = cut(items, "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())
     bitmap = bitmap_of(items, "h")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
     found = src.mapInArrow(_doc_windows(sizes, bitmap), "doc_id long, h long, pos long, slots array<long>")
-    its = items.select("item_id", "n", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    its = items.select("item_id", "n", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "name_at")
     hits = found.join(its, "h").filter(F.size("slots") == F.size("item_slots"))
     # A diagonal is one passage; a document may hold an item several times with different values.
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    by_pair = hits.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.first("n").alias("n"),
-        F.collect_set("item_pos").alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
-    )
-    xs, ys = F.transform("pairs", lambda p: p["item_slots"]), F.transform("pairs", lambda p: p["slots"])
-    agree = (F.size(F.array_distinct(xs)) == F.size("pairs")) & (F.size(F.array_distinct(ys)) == F.size("pairs"))
-    changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
-    one = by_pair.filter(agree).groupBy("doc_id", "item_id").agg(
+    hits = hits.withColumn("window", F.struct("item_pos", F.arrays_zip("name_at", "item_slots", "slots").alias("pairs")))
+    passages = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.first("n").alias("n"), F.collect_set("window").alias("windows"))
+    every = F.flatten(F.transform("windows", lambda w: w["pairs"]))
+    passages = passages.withColumn("names", F.array_distinct(F.filter(every, lambda p: p["name_at"] >= 0)))
+    x, y = (lambda p: p["item_slots"]), (lambda p: p["slots"])
+    votes = lambda p: F.size(F.filter("names", lambda q: (x(q) == x(p)) & (y(q) == y(p))))
+    places = lambda p: F.size(F.filter("names", lambda q: x(q) == x(p)))
+    passages = passages.withColumn("stands", F.filter("names", lambda p: (x(p) == y(p)) | (2 * votes(p) > places(p))))
+    passages = passages.withColumn("clear", F.forall("names", lambda p: F.exists("stands", lambda q: x(q) == x(p))))
+    fits = lambda p: F.exists("stands", lambda q: (x(q) == x(p)) & (y(q) == y(p)))
+    held = F.filter("windows", lambda w: F.forall(w["pairs"], lambda p: (p["name_at"] < 0) | (x(p) == y(p)) | (F.col("clear") & fits(p))))
+    passages = passages.withColumn("held", held).filter(F.size("held") > 0)
+    changed = F.size(F.array_distinct(F.transform(F.filter(every, lambda p: x(p) != y(p)), x)))
+    one = passages.withColumn("at", F.transform("held", lambda w: w["item_pos"])).groupBy("doc_id", "item_id").agg(
         F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max(changed).cast("long").alias("slots_changed")
     )
     out = one.withColumn("coverage", F.col("n_windows") / F.col("n")).filter(F.col("coverage") >= coverage)

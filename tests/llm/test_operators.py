@@ -231,6 +231,16 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_contaminated_with_conflicting_slots(spark):
+    items = ["there are 3 boxes on the shelf with 3 apples each so how many apples are there on the shelf now", "a train takes 12 hours to the sea and another one 5 hours so how long do both take", "we know that Alice went to the market with many friends and after lunch some of them saw that Alice had lost the red hat of the day before"]
+    texts = [items[0].replace("3 boxes", "4 boxes").replace("3 apples", "6 apples"), items[1].replace("12", "8").replace("5", "8"), items[2][::-1].replace("ecilA", "lraC", 1)[::-1]]
+    df = lambda xs, c: spark.createDataFrame(list(enumerate(xs)), f"{c} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(df(texts, "doc_id"), df(items, "item_id")).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2)}
+    assert [got[i, i]["coverage"] == 1 for i in range(3)] == [True, True, False]
+    assert [got[i, i]["slots_changed"] for i in range(3)] == [1, 2, 1]
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 18])
 def test_token_counts(spark, block):
     texts = ["hello world", "", None, "<|endoftext|> is text here", "x", "naïve 中文", "y " * 40]
