@@ -8,6 +8,10 @@ ones of the item may be different quantities and different ones may become equal
 item's own, or the one that stands for it at most of its places in the passage. If a name has no such majority, the passage
 mixes up who is who, and only the windows with the item's own names (or none) count.
 
+Windows have a second, case-blind reading in which names are plain words, so that copies in other case and short copies in the
+middle of a sentence are found. The item's first window is indexed as well with its first word as a name that stands for
+itself, as that word is capitalised in the middle of a sentence of the document.
+
 A bitmap of the items' window hashes (of fixed size) is looked up before the join, so that few other windows are shuffled.
 """
 
@@ -38,9 +42,7 @@ _units = np.sort(_own_hash(UNITS))
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk of texts: template hash and value hash of each word, and the first word of each row.
-
-    The value of a slot is the hash of its word, that of any other word 0."""
+    """Of a chunk of texts: template hash and word hash of each word, and the first word of each row."""
     starts, ends, first = spans(data, offsets, NOT_ALNUM)
     low = LOWER[data]
     value = word_hashes(low, starts, ends)
@@ -58,30 +60,42 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122), dtype=np.int64)])
     upper = (data[starts] >= 65) & (data[starts] <= 90) & (letters[ends] > letters[starts])
     name = upper & ~opens & ~number
-    slot = number | unit | name
     template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return template, np.where(slot, value, np.uint64(0)), first
+    return template, value, first
+
+
+def _readings(template: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """The template, and the case-blind one with names as words if that differs."""
+    name = template == NAME
+    return [template, np.where(name, word, template)] if name.any() else [template]
 
 
 def _window_rows(rows: Iterator[tuple[int, np.ndarray, np.ndarray]], sizes: list[int], keep) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("row", "h", "pos", "slots", "name_at")}
-    for row, template, value in rows:
+    for row, template, word in rows:
         for k in sizes:
-            h = windows(template, k).view(np.int64)
-            at = np.flatnonzero(keep(h)) if len(h) else []
-            for i in at:
-                out["row"].append(row), out["h"].append(int(h[i])), out["pos"].append(int(i))
-                at_slot = i + np.flatnonzero(value[i : i + k])
-                out["slots"].append(value[at_slot].view(np.int64))
-                out["name_at"].append(np.where(template[at_slot] == NAME, at_slot, -1))
+            seen = None
+            for reading in _readings(template, word):
+                h = windows(reading, k).view(np.int64)
+                at = np.flatnonzero(keep(h) if seen is None else keep(h) & (h != seen)) if len(h) else []
+                seen = h
+                for i in at:
+                    _add(out, row, int(h[i]), reading, word, int(i), k)
     return out
 
 
+def _add(out: dict[str, list], row: int, h: int, reading: np.ndarray, word: np.ndarray, i: int, k: int) -> None:
+    part = reading[i : i + k]
+    at = i + np.flatnonzero((part == NUMBER) | (part == UNIT) | (part == NAME))
+    out["row"].append(row), out["h"].append(h), out["pos"].append(i)
+    out["slots"].append(word[at].view(np.int64)), out["name_at"].append(np.where(reading[at] == NAME, at, -1))
+
+
 def _rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for lo, _, data, offsets in chunks(texts):
-        template, value, first = canonical(data, offsets)
+        template, word, first = canonical(data, offsets)
         for i in range(len(offsets) - 1):
-            yield lo + i, template[first[i] : first[i + 1]], value[first[i] : first[i + 1]]
+            yield lo + i, template[first[i] : first[i + 1]], word[first[i] : first[i + 1]]
 
 
 def _item_windows(size: int):
@@ -89,16 +103,25 @@ def _item_windows(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("item_id", "n", "k", "h", "pos", "slots", "name_at")}
+            cols: dict[str, list] = {k: [] for k in ("item_id", "n", "k", "h", "pos", "slots", "name_at", "first_fixed")}
             ids = batch.column(0).to_pylist()
-            for row, template, value in _rows(batch.column(1)):
+            for row, template, word in _rows(batch.column(1)):
                 k = min(size, len(template))
                 if k:
-                    got = _window_rows(iter([(row, template, value)]), [k], lambda h: np.ones(len(h), bool))
-                    m = len(got["h"])
-                    for c, v in (("item_id", [ids[row]] * m), ("n", [m] * m), ("k", [k] * m), ("h", got["h"]), ("pos", got["pos"]), ("slots", got["slots"]), ("name_at", got["name_at"])):
+                    got = _window_rows(iter([(row, template, word)]), [k], lambda h: np.ones(len(h), bool))
+                    m, fixed = len(got["h"]), [False] * len(got["h"])
+                    # Without a plain word the case-blind window is enough: NAME NAME stands in each text.
+                    plain = ~np.isin(template[1:k], [NUMBER, UNIT, NAME])
+                    if template[0] != NUMBER and plain.any():
+                        reading = np.concatenate([[NAME], template[1:]])
+                        _add(got, row, int(windows(reading[:k], k).view(np.int64)[0]), reading, word, 0, k)
+                        m, fixed = m + 1, [*fixed, True]
+                    n = len(template) - k + 1
+                    for c, v in (("item_id", [ids[row]] * m), ("n", [n] * m), ("k", [k] * m), ("first_fixed", fixed)):
                         cols[c] += v
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    for c in ("h", "pos", "slots", "name_at"):
+                        cols[c] += got[c]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in zip(cols, kinds, strict=True)], names=list(cols))
 
     return trimmed(run)
@@ -124,14 +147,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     documents or items give one row for each two ids. Empty tables give no rows. Other columns are ignored."""
     bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter("item_id is not null")
-    items = items.mapInArrow(_item_windows(window), "item_id long, n long, k int, h long, pos long, slots array<long>, name_at array<long>")
+    items = items.mapInArrow(_item_windows(window), "item_id long, n long, k int, h long, pos long, slots array<long>, name_at array<long>, first_fixed boolean")
     items = cut(items, "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())
     bitmap = bitmap_of(items, "h")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
     found = src.mapInArrow(_doc_windows(sizes, bitmap), "doc_id long, h long, pos long, slots array<long>")
-    its = items.select("item_id", "n", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "name_at")
-    hits = found.join(its, "h").filter(F.size("slots") == F.size("item_slots"))
+    its = items.select("item_id", "n", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "name_at", "first_fixed")
+    hits = found.join(its, "h").filter((F.size("slots") == F.size("item_slots")) & (~F.col("first_fixed") | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))))
     # A diagonal is one passage; a document may hold an item several times with different values.
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     hits = hits.withColumn("window", F.struct("item_pos", F.arrays_zip("name_at", "item_slots", "slots").alias("pairs")))

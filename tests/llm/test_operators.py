@@ -241,6 +241,14 @@ def test_contaminated_with_conflicting_slots(spark):
     assert [got[i, i]["slots_changed"] for i in range(3)] == [1, 2, 1]
 
 
+def test_contaminated_in_other_case_and_place(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France"), (2, "Alice Smith"), (3, "so why did the people of London and Paris ask for more trains to Rome than ever before")], "item_id long, text string")
+    texts = ["1) What is the capital of France", "(What is the capital of France)", "see What is the capital of France", "what is the capital of france", "see What is the capital of Spain", "SO WHY DID THE PEOPLE OF LONDON AND PARIS ASK FOR MORE TRAINS TO ROME THAN EVER BEFORE", "we met Bob Jones and Alice Jones"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(0, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1), (5, 3, 1)]
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 18])
 def test_token_counts(spark, block):
     texts = ["hello world", "", None, "<|endoftext|> is text here", "x", "naïve 中文", "y " * 40]
