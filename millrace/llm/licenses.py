@@ -2,9 +2,10 @@
 
 A document's words and those of the license templates become rolling hashes of six words. The join of both gives each match
 a diagonal (document position less template position). Matches vote for their diagonal; diagonals of one document and
-template that lie within `slack` of each other are merged, since an inserted or dropped word moves the rest to a neighbour.
-A merged span is verified: it must cover `coverage` of the template's positions, and its length in the document
-must fit the template's. Base phrases are found word by word besides; their labels always stay.
+template that lie within `slack` of each other are merged into an island, since an inserted or dropped word moves the rest to a
+neighbour. More inserted words leave several islands: each is joined with those that follow it in the document and in the
+template and bring more of its words, as long as the length in the document fits the template's. A joined span is verified:
+it must hold `coverage` of the template's words, where a match holds k. Base phrases are found word by word besides; their labels always stay.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Null texts count as empty: no words, no labels, nulls for first and last word, score 0. score is 1 with a base phrase,
-    else the largest share of a template that a verified span covers. spans: label, template, first and last word, coverage.
+    else the largest share of a template's words that a verified span holds. spans: label, template, first and last word, coverage.
     Null and repeated ids are rows of their own. Empty tables give no rows. Other columns are ignored."""
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     grams = template_grams(docs.sparkSession, templates, k)
@@ -93,11 +94,26 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
     votes = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > slack).cast("int"))
     votes = votes.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order))
-    spans = votes.groupBy("rid", "template", "label", "size", "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last")
-    )
-    share = F.least((F.col("n") + k - 1) / F.col("size"), F.lit(1.0))
-    spans = spans.withColumn("coverage", share).filter((F.col("coverage") >= coverage) & (F.col("last") - F.col("first") < 2 * F.col("size")))
+    held = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("seen")), lambda p: F.sequence(p, p + k - 1)))))
+    islands = votes.groupBy("rid", "template", "label", "size", "island").agg(held.alias("held"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
+    islands = islands.filter(F.col("last") - F.col("first") < 2 * F.col("size"))
+    # An island's frame has the islands that start within two template lengths from its start, so its size is bounded.
+    near = Window.partitionBy("rid", "template").orderBy(F.col("first") / (2.0 * F.col("size"))).rangeBetween(0, 1)
+    frames = islands.withColumn("near", F.sort_array(F.collect_list(F.struct("first", "last", "held")).over(near)))
+
+    def joined_to(span: F.Column, island: F.Column) -> F.Column:
+        follows = (island["held"][0] > F.col("held")[0]) & (island["last"] - F.col("first") < 2 * F.col("size"))
+        more = F.struct(F.greatest(span["last"], island["last"]).alias("last"), F.array_union(span["held"], island["held"]).alias("held"))
+        return F.when(follows & (F.size(F.array_except(island["held"], span["held"])) > 0), more).otherwise(span)
+
+    spans = frames.withColumn("span", F.aggregate("near", F.struct("last", "held"), joined_to))
+    spans = spans.select("rid", "template", "label", "first", F.col("span.last").alias("last"), (F.size("span.held") / F.col("size")).alias("coverage")).filter(F.col("coverage") >= coverage)
+    # Spans of one template that overlap are parts of one passage: the one with most of the template stands for it.
+    before = Window.partitionBy("rid", "template").orderBy("first", "last")
+    apart = F.coalesce((F.col("first") > F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    spans = spans.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max_by(F.struct("first", "last", "coverage"), F.struct("coverage", -F.col("first"), -F.col("last")))
+    spans = spans.groupBy("rid", "template", "label", "passage").agg(best.alias("s")).select("rid", "template", "label", "s.*")
     by_row = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("label", "template", "first", "last", "coverage"))).alias("spans"))
 
     out = rows.join(by_row, "rid", "left").withColumn("spans", F.coalesce("spans", F.array().cast(by_row.schema["spans"].dataType)))

@@ -278,6 +278,23 @@ def test_licenses(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
 
 
+def test_licenses_with_inserted_words(spark):
+    """All words of a template are there, with other words between; two broken copies are two spans."""
+    names = {f"{label}-{i}": t.split() for label, texts in licenses.TEMPLATES.items() for i, t in enumerate(texts)}
+    rows, gap = [], [f"gap{i}" for i in range(12)]
+    for n, (name, t) in enumerate(names.items()):
+        half = len(t) // 2
+        broken = t[:half] + gap[:4] + t[half:]
+        ways = [broken, t[:half] + gap + t[half:], sum((t[i : i + 10] + ["br"] for i in range(0, len(t), 10)), []), sum((t[i : i + 8] + ["br"] for i in range(0, len(t), 8)), []), broken + gap + broken]
+        ways.append(t[half // 2 : half // 2 + 6] + gap + broken)
+        rows += [(10 * n + i, " ".join(w), name) for i, w in enumerate(ways)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    for r in licenses.scan_licenses(docs).join(docs.select("doc_id", "name"), "doc_id").collect():
+        own = [s for s in r["spans"] if s["template"] == r["name"]]
+        assert len(own) == (2 if r["doc_id"] % 10 == 4 else 1), r
+        assert all(s["coverage"] > (0.6 if r["doc_id"] % 10 == 3 else 0.85) for s in own), r
+
+
 def test_warc(spark, tmp_path):
     big, same = "ü" * 600, "<p>same</p>" * 200
     rows = [(1, "http://a/ b\r\nX: y", same), (2, None, same), (9, "u", same), (3, "u", None), (4, "u", ""), (5, "u", "tiny"), (6, "u", "tiny"), (7, "u", big), (9, "u", same), (None, "u", same), (None, "u", "own" * 999), (11, "u", "long " * 4_000_000)]
