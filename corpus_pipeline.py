@@ -29,9 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: letters, and a fifth of their trigrams at least known in the language found."""
+    """Keeps documents with a language: letters, and known trigrams of the language found, a fifth at least of what is usual
+    in its training text. The limit goes with the filter, which lacks rare trigrams once the table is large."""
     model = fit_languages(docs)
-    return _filtered(docs, language_udf(model)(F.col("text")), lambda v: (v["lang_pred"] != "und") & (v["score"] >= LEAST_LANGUAGE_SHARE))
+    usual = F.create_map(*[F.lit(x) for item in model.usual.items() for x in item]) if model.usual else F.lit(None).cast("map<string,double>")
+    least = lambda v: LEAST_LANGUAGE_SHARE * F.coalesce(usual[v["lang_pred"]], F.lit(1.0))
+    return _filtered(docs, language_udf(model)(F.col("text")), lambda v: (v["lang_pred"] != "und") & (v["score"] >= least(v)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

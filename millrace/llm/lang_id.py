@@ -6,6 +6,8 @@ languages that contain it. A document's trigrams are looked up, counted for each
 for the filter's own false positive rate in that language. The largest corrected count decides.
 
 The filter has at most 1 / least_share trigrams a language, whatever the size of the corpus; counts cover all training rows.
+What part of a language's training text these make up depends on its script and on the corpus, so the model has that part
+(`usual`), and a text's score is to be judged against it.
 """
 
 from __future__ import annotations
@@ -66,10 +68,12 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 class LanguageFilter:
-    """languages (sorted by code point), their shares of training rows, and tables[l // 64][slot] with bit l % 64."""
+    """languages (sorted by code point), their shares of training rows, usual: the share of a language's training trigrams
+    that the filter has (1 if not given), and tables[l // 64][slot] with bit l % 64."""
 
-    def __init__(self, languages: list[str], weight: list[float], grams: list[np.ndarray]):
+    def __init__(self, languages: list[str], weight: list[float], grams: list[np.ndarray], usual: list[float] | None = None):
         self.languages, self.weight = languages, np.array(weight)
+        self.usual = dict(zip(languages, usual or [1.0] * len(languages), strict=True))
         self.tables = [np.zeros(SLOTS, np.uint64) for _ in range(0, max(1, len(languages)), 64)]
         for n, h in enumerate(grams):
             for s in slots(h):
@@ -133,12 +137,14 @@ def fit_languages(train: DataFrame, lang_col: str = "lang", text_col: str = "tex
     names = sorted((r["lang"], r["n"]) for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     grams = src.mapInArrow(trimmed(_gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
-    often = grams.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * least_share).select("lang", "gram")
+    often = grams.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * least_share).select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     got: dict[str, list[int]] = {n: [] for n, _ in names}
-    for lang, gram in often.collect():
+    usual = {n: 0.0 for n, _ in names}
+    for lang, gram, share in often.collect():
         got[lang].append(gram)
+        usual[lang] += share
     all_rows = max(1, sum(n for _, n in names))
-    return LanguageFilter([n for n, _ in names], [n / all_rows for _, n in names], [np.array(sorted(got[n]), np.int64).view(np.uint64) for n, _ in names])
+    return LanguageFilter([n for n, _ in names], [n / all_rows for _, n in names], [np.array(sorted(got[n]), np.int64).view(np.uint64) for n, _ in names], [min(1.0, usual[n]) for n, _ in names])
 
 
 def language_udf(model: LanguageFilter):

@@ -327,3 +327,17 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in near_dup.near_duplicates(rows).filter("kept").collect()}
     assert ids == kept and not {r["doc_id"] for r in decontaminate.contaminated(rows, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
+
+
+def test_language_stage_keeps_flat_scripts_on_large_tables(spark):
+    """A share of 0.1 or so of a text's trigrams is frequent in its language, the others occur once in the table."""
+    rng = np.random.default_rng(9)
+    rare = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, n))
+    rows = [(i, "".join(f"{rare(36)}天地玄黃宇宙" for _ in range(10)), "zh") for i in range(400)]
+    rows += [(1000 + i, "the quick brown fox jumps over the lazy dog " * 20, "en") for i in range(40)]
+    rows += [(2000, "".join(chr(c) for c in rng.integers(0x0E01, 0x0E2F, 400)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (20, 400):
+        part = docs.filter(f"doc_id < {n} or doc_id >= 1000")
+        got = {r["doc_id"] for r in corpus_pipeline.language(spark, part, SF).select("doc_id").collect()}
+        assert got == {*range(n), *range(1000, 1040)}
