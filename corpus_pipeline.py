@@ -37,19 +37,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _filtered(docs, language_udf(model)(F.col("text")), lambda v: (v["lang_pred"] != "und") & (v["score"] >= least(v)))
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key for each row, whatever its doc_id. It is written, so that each use reads the same keys."""
+    return cut(docs.withColumn("_key", F.monotonically_increasing_id()), name)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (shingles of five words, similarity 0.8).
+    """Keeps one row of each group of near duplicates (shingles of five words, similarity 0.8): that with the smallest id.
 
-    Repeated rows with that id keep one row; rows with a null id are never dropped for their id alone."""
-    found = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(found, "doc_id", "left_anti").select(docs.columns).union(docs.filter("doc_id is null"))
+    Rows count as documents of their own: those that share an id but not the text are compared by their texts, and a row
+    with a null id stays if no other row of its group has an id. Of rows without words, those with one id keep one."""
+    rows = _keyed(docs, "dedup-rows")
+    found = near_duplicates(rows, id_col="_key").withColumnRenamed("doc_id", "_key")
+    # Rows without words are a group for each id; null ids have none in common.
+    ids = rows.select("_key", "doc_id")
+    own = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
+    group = [own.alias("id"), F.when(own.isNull(), F.col("component_id")).alias("component")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    kept = found.join(ids, "_key").groupBy(*group).agg(first.alias("first")).select("first._key")
+    return rows.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
-    found = cut(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Drops rows that hold an item of the benchmark, whatever their id."""
+    rows = _keyed(docs, "decontaminate-rows")
+    found = cut(contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return rows.join(found, "_key", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

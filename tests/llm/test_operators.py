@@ -341,3 +341,15 @@ def test_language_stage_keeps_flat_scripts_on_large_tables(spark):
         part = docs.filter(f"doc_id < {n} or doc_id >= 1000")
         got = {r["doc_id"] for r in corpus_pipeline.language(spark, part, SF).select("doc_id").collect()}
         assert got == {*range(n), *range(1000, 1040)}
+
+
+def test_pipeline_stages_with_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows = [(5, a), (5, b), (3, a), (7, b + " more"), (None, c), (None, c), (8, d), (None, d), (9, ""), (9, ""), (9, None), (None, ""), (5, c + " " + d)]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_dedup(spark, docs(rows), SF).collect())
+    assert got == sorted([(3, a), (5, b), (0, c), (8, d), (9, ""), (0, ""), (5, c + " " + d)])
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(1, a), (1, "so " + item), (None, item), (None, b)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.decontaminate(spark, docs(rows), SF).collect())
+    assert got == [(0, b), (1, a)]
