@@ -9,16 +9,16 @@ ends. A prefix scan over a file's blocks numbers the separators and stitches pie
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import bound_batches, new_path
-from millrace.llm.flat_files import read_files, write_records
+from millrace.llm.flat_files import FILE_BYTES, SCHEMA, numbered, read_files, write_records
 
 TOKENIZERS = "/opt/tokenizers"
 #: The public pattern that splits a text before the merges of this vocabulary.
@@ -29,7 +29,10 @@ MARK, DIGIT, DIGITS = EOD + 1, 13, 5
 #: The last byte of the end-of-document id, written as the separator of records.
 LAST = chr(EOD & 0xFF)
 BLOCK_IDS = 1 << 18
-PIECE = 1 << 16
+#: A longer run of white space goes to the encoder as a piece of its own; the pattern would need a stack as deep as the run.
+LONG_RUN = 4096
+#: What \\s means in the pattern: the characters with Unicode's property White_Space (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def load_encoder(folder: str, ranks: str = "byte_bpe_50k.tiktoken"):
@@ -50,29 +53,40 @@ def from_marker(digits) -> int | None:
     return None if n >> 64 else n - (1 << 64) if n >> 63 else n
 
 
-def _records(folder: str):
+def encoded(encoder, text: str, longest: int = LONG_RUN) -> list[int]:
+    """The ids of encode_ordinary(), for runs of white space of any length.
+
+    A run of two or more is a piece of the pattern without its last character, or whole at the end of the text. What stands
+    before it and what begins with its last character is split by the pattern without looking at the run."""
+    out, at = [], 0
+    for run in re.finditer(f"[{WHITE}]{{{max(2, longest)},}}", text):
+        end = run.end() - (run.end() < len(text))
+        out += encoder.encode_ordinary(text[at : run.start()])
+        out += encoder._encode_single_piece(run[0][: end - run.start()])
+        at = end
+    return out + encoder.encode_ordinary(text[at:])
+
+
+def _records(folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(folder)
         if encoder.max_token_value >= EOD:
             raise ValueError("the vocabulary's ids reach the end-of-document id")
-        end = np.array([EOD], ID).tobytes()
-        for batch in batches:
-            out, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode_ordinary(text.as_py() or "")
-                out.append(marker(doc_id).tobytes() + np.array(ids, ID).tobytes() + end[:-1])
-                size += len(out[-1])
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        end = np.array([EOD], ID).tobytes()[:-1]
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield marker(doc_id).tobytes() + np.array(encoded(encoder, text.as_py() or ""), ID).tobytes() + end
+
+        return numbered(records(), file_bytes)
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 5000) -> None:
+def write_token_files(docs: DataFrame, path: str, folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    write_records(src.mapInArrow(_records(folder), "record binary"), "record", path, docs_per_file, LAST)
+    write_records(src.mapInArrow(_records(folder, file_bytes), SCHEMA), path, LAST)
 
 
 def scan_block(block: np.ndarray) -> tuple[int, list, list, list, list, int, int]:
@@ -122,21 +136,17 @@ def count_tokens(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) ->
     return inside.union(stitched)
 
 
-def token_counts(docs: DataFrame, folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 5000, block_ids: int = BLOCK_IDS) -> DataFrame:
+def token_counts(docs: DataFrame, folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(doc_id, n_tokens) per input row, by writing flat token files to the shared folder and scanning them.
 
     Null and empty texts have 0 tokens; null and repeated ids keep rows of their own; an empty table gives no rows. The
-    tokenizer never takes text for a special token, so no text holds the separator."""
+    tokenizer never takes text for a special token, so no text holds the separator. A text has fewer than 2^30 tokens, as
+    its record is one value of a row; runs of white space may have any length. Other columns are ignored."""
     bound_batches(docs.sparkSession)
     path = new_path(docs.sparkSession, "tokens")
-    write_token_files(docs, path, folder, id_col, text_col, docs_per_file)
+    write_token_files(docs, path, folder, id_col, text_col, file_bytes)
     return count_tokens(docs.sparkSession, path, block_ids)
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def counted(texts: pd.Series, folder: str = TOKENIZERS) -> pd.Series:
-    encoder = load_encoder(folder)
-    return texts.map(lambda t: len(encoder.encode_ordinary(t or "")))

@@ -1,7 +1,8 @@
 """WARC archives: writing pages as records, one gzip member each, and reading them back in sequence.
 
 Writer: a page becomes an HTTP response record, or, if a page with a larger id has the same payload of at least
-`least_bytes` bytes, a revisit record that names that page. Reader: members are decompressed one at a time with an
+`least_bytes` bytes, a revisit record that names that page. A record of 16 MB or more is followed by a small metadata record
+that belongs to it, also a member of its own, as the file writer needs members that end with a zero byte. Reader: members are decompressed one at a time with an
 incremental zlib object, a record is framed by its Content-Length, and block and payload digests are verified.
 """
 
@@ -16,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path
-from millrace.llm.flat_files import read_files, write_records
+from millrace.llm.common import bound_batches, cut, new_path
+from millrace.llm.flat_files import FILE_BYTES, SCHEMA, numbered, read_files, write_records
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 READ = 1 << 16
 EPOCH = "1970-01-01T00:00:00Z"
-EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
 def page_urn(page_id: int | None) -> str:
@@ -42,22 +42,33 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode("latin-1") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def metadata(page_id: int | None, size: int, date: str = EPOCH) -> bytes:
+    """An uncompressed metadata record about a page's record of `size` bytes."""
+    block = b"uncompressed-length: %d\r\n" % size
+    head = [
+        "WARC/1.1", "WARC-Type: metadata", f"WARC-Record-ID: <{page_urn(page_id)}:length>", f"WARC-Date: {date}", f"WARC-Concurrent-To: <{page_urn(page_id)}>",
+        f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def member(raw: bytes) -> bytes:
-    """A gzip member without its last byte, which is 0 in records under 16 MB. Longer ones are followed by an empty member."""
-    out = gzip.compress(raw, 6, mtime=0)
-    return (out if not out[-1] else out + EMPTY_MEMBER)[:-1]
+    """One gzip member. Its last byte is the length divided by 2^24: 0 in records under 16 MB."""
+    return gzip.compress(raw, 6, mtime=0)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, size = [], 0
-        for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            out.append(member(record(page_id, url, html, digest, refers_to)))
-            size += len(out[-1])
-            if size > 1 << 23:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-                out, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+def page_members(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """The member of a page's record, for long ones that of a metadata record too; without the last byte, which is 0."""
+    raw = record(page_id, url, payload, digest, refers_to)
+    out = member(raw)
+    return (out + member(metadata(page_id, len(raw))) if out[-1] else out)[:-1]
+
+
+def _members(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return numbered((page_members(*(v.as_py() for v in row)) for batch in batches for row in zip(*batch.columns, strict=True)), file_bytes)
+
+    return run
 
 
 def with_duplicates(pages: DataFrame, least_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -66,14 +77,17 @@ def with_duplicates(pages: DataFrame, least_bytes: int, id_col: str, url_col: st
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     src = src.withColumn("digest", F.sha1("payload"))
     groups = src.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = src.join(groups.select("digest", "last"), "digest", "left")
+    # Written first: the planner then knows its size, broadcasts it if that is small, and can else split a digest that many rows have.
+    groups = cut(groups.select("digest", "last"), "warc-groups")
+    out = src.join(groups, "digest", "left")
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")) & (F.octet_length("payload") >= least_bytes), F.col("last"))
     return out.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000, records_per_file: int = 10000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     rows = with_duplicates(pages, least_bytes, id_col, url_col, html_col)
-    write_records(rows.mapInArrow(_members, "member binary"), "member", path, records_per_file)
+    bound_batches(pages.sparkSession)
+    write_records(rows.mapInArrow(_members(file_bytes), SCHEMA), path)
 
 
 def members(data: memoryview) -> Iterator[bytes]:
@@ -87,8 +101,7 @@ def members(data: memoryview) -> Iterator[bytes]:
                 raise ValueError("the archive ends inside a member")
             parts.append(z.decompress(piece))
             at += len(piece) - len(z.unused_data)
-        if raw := b"".join(parts):
-            yield raw
+        yield b"".join(parts)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -120,6 +133,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
             for raw in members(memoryview(content.as_buffer())):
                 head, block = parse(raw)
+                if head["warc-type"] not in ("response", "revisit"):
+                    continue
                 payload = block.partition(b"\r\n\r\n")[2] if head["warc-type"] == "response" else None
                 digest = head["warc-payload-digest"].partition(":")[2]
                 if payload is not None and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(head["x-payload-length"])):
@@ -140,14 +155,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path).select("content").mapInArrow(_read, schema)
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 1000, **columns: str) -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 1000, file_bytes: int = FILE_BYTES, **columns: str) -> DataFrame:
     """Write pages as archives to the shared folder and read them back.
 
     Null html is an empty payload and a null url an empty one. Rows with the group's largest id are all responses, also
     where that id repeats; a row with a null id revisits the largest id, and is a response where there is none. Payloads
-    under least_bytes are always responses. Empty tables give no rows. Other columns are ignored."""
+    under least_bytes are always responses. An archive has file_bytes and a record at most. Empty tables give no rows. Other columns are ignored."""
     path = new_path(pages.sparkSession, "warc")
-    write_warc(pages, path, least_bytes, **columns)
+    write_warc(pages, path, least_bytes, file_bytes, **columns)
     return read_warc(pages.sparkSession, path)
 
 

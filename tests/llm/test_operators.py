@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, decontaminate, lang_id, licenses, lm_score, mixing, near_dup, quality, token_counts, warc
+from millrace.llm import ann, decontaminate, flat_files, lang_id, licenses, lm_score, mixing, near_dup, quality, token_counts, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_shingles string, component_id string, row string, size string"
@@ -255,11 +255,32 @@ def test_token_counts(spark, block):
     docs = spark.createDataFrame([(i * 10**15 - 3, t) for i, t in enumerate(texts)] + [(None, "a b"), (-3, "twice")], "doc_id long, text string").coalesce(2)
     encoder = token_counts.load_encoder(token_counts.TOKENIZERS)
     want = sorted((repr(r["doc_id"]), len(encoder.encode_ordinary(r["text"] or ""))) for r in docs.collect())
-    got = sorted((repr(r["doc_id"]), r["n_tokens"]) for r in token_counts.token_counts(docs, block_ids=block, docs_per_file=4).collect())
+    got = sorted((repr(r["doc_id"]), r["n_tokens"]) for r in token_counts.token_counts(docs, block_ids=block, file_bytes=60).collect())
     assert got == want
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_encoder_on_runs_of_white_space():
+    """Cut at runs of two and more, the ids are those of the uncut text; runs of millions do not end the worker."""
+    encoder = token_counts.load_encoder(token_counts.TOKENIZERS)
+    rng = np.random.default_rng(4)
+    signs = [" ", " ", "\n", "\t", "\u3000", "\x85", "\x1c", "a", "B", "7", "!", "'s", "é"]
+    for _ in range(500):
+        text = "".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(0, 40)))
+        assert token_counts.encoded(encoder, text, 2) == encoder.encode_ordinary(text), repr(text)
+    for sign in (" ", "\n", "\r\n", "a", "!"):
+        run = sign * 3000
+        for text in (run, "x" + run, run + "y", "x" + run + " y"):
+            assert token_counts.encoded(encoder, text, 1000) == encoder.encode_ordinary(text)
+
+
+def test_token_counts_of_very_long_texts(spark):
+    n = 3_000_000
+    docs = spark.createDataFrame([(1, "a" + " " * n + "b"), (2, "\n" * n), (3, "word " * 300_000), (4, "z" * 1_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, file_bytes=1 << 20).collect()}
+    assert got[1] == n + 1 and got[2] == n / 2 and got[3] == 300_001 and set(got) == {1, 2, 3, 4}
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"][0].split()
     texts = ["Released under the MIT License. mit license", "GNU General\nPublic-License v3", "CC BY-NC; gnu general public", None, "", "x " * 500 + " ".join(mit[:20] + ["extra"] + mit[20:]) + " y" * 300, " ".join(mit[:12]), "mit é license", "word " * 60000]
@@ -297,13 +318,21 @@ def test_licenses_with_inserted_words(spark):
 
 def test_warc(spark, tmp_path):
     big, same = "ü" * 600, "<p>same</p>" * 200
-    rows = [(1, "http://a/ b\r\nX: y", same), (2, None, same), (9, "u", same), (3, "u", None), (4, "u", ""), (5, "u", "tiny"), (6, "u", "tiny"), (7, "u", big), (9, "u", same), (None, "u", same), (None, "u", "own" * 999), (11, "u", "long " * 4_000_000)]
+    rows = [(1, "http://a/ b\r\nX: y", same), (2, None, same), (9, "u", same), (3, "u", None), (4, "u", ""), (5, "u", "tiny"), (6, "u", "tiny"), (7, "u", big), (9, "u", same), (None, "u", same), (None, "u", "own" * 999), (11, "u", "long " * 4_000_000), (12, "u", "long " * 4_000_000)]
     got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=repr)
     want = []
     for i, _, h in rows:
-        n, revisit = len((h or "").encode()), h == same and i != 9
-        want.append((i, n, "revisit" if revisit else "response", 9 if revisit else None))
+        n, last = len((h or "").encode()), {same: 9, "long " * 4_000_000: 12}.get(h)
+        want.append((i, n, *(("revisit", last) if last not in (None, i) else ("response", None))))
     assert got == sorted(want, key=repr)
+    long = "long " * 4_000_000
+    files = f"{tmp_path}/long"
+    warc.write_warc(spark.createDataFrame([(k, "u", long if k == 2 else f"<p>{k}</p>" * 40) for k in range(40)], "page_id long, url string, html string").coalesce(1), files, file_bytes=2000)
+    heads = [list(warc.members(memoryview(bytes(r["content"])))) for r in flat_files.read_files(spark, files).collect()]
+    assert len(heads) > 3 and sum(len(m) > 1 << 24 for h in heads for m in h) == 1
+    kinds = collections.Counter(warc.parse(m)[0]["warc-type"] for h in heads for m in h)
+    assert kinds == {"response": 40, "metadata": 1}
+    assert warc.read_warc(spark, files).count() == 40
     pages = spark.createDataFrame([(1, "u", big)], "page_id long, url string, html string")
     warc.write_warc(pages, f"{tmp_path}/w")
     assert warc.read_warc(spark, f"{tmp_path}/w").first()["payload"].decode() == big
@@ -312,7 +341,7 @@ def test_warc(spark, tmp_path):
         with pytest.raises(ValueError):
             warc.parse(bad)
     with pytest.raises(ValueError, match="inside"):
-        list(warc.members(memoryview(warc.member(raw))))
+        list(warc.members(memoryview(warc.member(raw)[:-1])))
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
