@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-BITMAP_BITS = 1 << 23
+BITMAP_BITS, MOST_BITS = 1 << 23, 1 << 28
 #: Text that one Arrow batch takes to Python; the default limit of rows alone lets long texts make batches of any size.
 BATCH_BYTES = 4 << 20
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -45,12 +45,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by new_path() that nothing reads any more."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop_path, True)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Limit the bytes of Arrow batches in this session, unless a limit lower than Spark's own is set already."""
     now = spark.conf.get(BATCH_KEY).removesuffix("b")
@@ -83,6 +77,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() has written and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bitmap_bits(keys: int) -> int:
+    """A size for so many keys: 16 bits each, within fixed bounds. Past the upper one more of the rest passes the bitmap."""
+    return min(MOST_BITS, max(BITMAP_BITS, 1 << (16 * keys).bit_length()))
+
+
 def bitmap_of(keys: DataFrame, hash_col: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bitmap of fixed size with bit (hash mod bits) set for each row. At most bits / 64 longs reach the driver."""
     pos = F.pmod(F.col(hash_col), F.lit(bits))
@@ -92,12 +98,7 @@ def bitmap_of(keys: DataFrame, hash_col: str, bits: int = BITMAP_BITS) -> np.nda
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     )
     out = np.zeros(bits // 64, np.uint64)
-    got = words.toPandas() if words.sparkSession.conf.get("spark.sql.execution.arrow.pyspark.enabled") == "true" else None
-    if got is None:
-        rows = words.collect()
-        idx, val = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    else:
-        idx, val = got["w"].to_numpy(np.int64), got["b"].to_numpy(np.int64)
+    idx, val = (c.to_numpy() for c in words.toArrow().columns)
     out[idx] = val.view(np.uint64)
     return out
 

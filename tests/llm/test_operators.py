@@ -109,17 +109,62 @@ def test_languages(spark, docs):
     got = {r["doc_id"]: r for r in lang_id.identify_languages(rows, model).collect()}
     assert [got[i]["lang_pred"] for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
     assert got[6]["lang_pred"] in ("en", "de") and got[6]["score"] == 0 and got[1]["score"] > 0.9
-    assert lang_id.identify_languages(docs, model).count() == docs.count()
+    assert len(lang_id.identify_languages(docs, model).collect()) == docs.count()
     assert {r["lang_pred"] for r in lang_id.identify_languages(rows, lang_id.fit_languages(train.limit(0))).collect()} == {"und"}
 
 
 def test_language_counts_match_sets(spark):
     """The filter's counts, corrected for false positives, are near exact look-ups."""
     h = [np.unique(np.concatenate([x for x, _, _ in lang_id.trigrams([t])])) for t in ("the quick brown fox", "der schnelle braune fuchs")]
-    model = lang_id.LanguageFilter(["a", "b"], [0.5, 0.5], h)
-    for x, row, has in lang_id.trigrams(["the braune fox"]):
-        total, got = model.counts(x, row, len(has))
-        assert np.allclose(got[0], [np.isin(x, g).sum() for g in h], atol=0.01) and total[0] == len(x)
+    model = lang_id.LanguageFilter.of(["a", "b"], [0.5, 0.5], h)
+    for x, row, _ in lang_id.trigrams(["the braune fox"]):
+        total, got = model.held(x, row, 1)
+        assert np.allclose(model.corrected(total, got)[0], [np.isin(x, g).sum() for g in h], atol=0.01) and total[0] == len(x)
+
+
+def brute_language(train, texts):
+    """Languages by sets of character trigrams, none left out."""
+    def grams(t):
+        t = " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "
+        return [t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " " or (t[i] != " " and t[i + 2] != " ")]
+
+    names = sorted({n for n, _ in train})
+    weight = collections.Counter(n for n, _ in train)
+    known = {n: {g for m, t in train if m == n for g in grams(t or "")} for n in names}
+    out = []
+    for t in texts:
+        g = grams(t or "")
+        count = {n: sum(x in known[n] for x in g) for n in names}
+        best = max(names, key=lambda n: (count[n], weight[n], [-ord(c) for c in n]))
+        out.append((best, count[best] / len(g)) if any(c.isalpha() for c in t or "") else ("und", 0.0))
+    return out
+
+
+def test_languages_like_sets(spark):
+    """Over a whole table: the filter's predictions and scores are those of exact sets. The model keeps every trigram here."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    train = docs.filter(lang_id.fold("doc_id", 4) != 2)
+    long = "der Hund und die Katze laufen durch den Wald " * 20_000
+    more = [(10**6, long), (10**6 + 1, "\U00030001\U00030002"), (10**6 + 2, "\U00010400 x"), (10**6 + 3, "1 2 !"), (10**6 + 4, None), (None, "the dog"), (None, "the dog")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = rows.collect()
+    want = brute_language([(r["lang"], r["text"]) for r in train.collect() if r["lang"]], [r["text"] for r in texts])
+    model = lang_id.fit_languages(train)
+    assert set(model.usual.values()) == {1.0}
+    got = lang_id.identify_languages(rows, model).collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in texts]
+    wrong = [(g, w) for g, w in zip(got, want, strict=True) if g["lang_pred"] != w[0] or abs(g["score"] - w[1]) > 0.02]
+    assert not wrong
+    assert lang_id.CHUNK_CHARS < len(long) and {r["doc_id"]: r["lang_pred"] for r in got}[10**6 + 1] != "und"
+
+
+def test_language_ties(spark):
+    """A text of as many known trigrams in each language: more training rows, then the smaller name."""
+    rows = [("b", "one two"), ("a", "one two"), ("c", "one two"), ("c", "one two")]
+    ask = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    for train, want in ((rows, "c"), (rows[:2], "a")):
+        model = lang_id.fit_languages(spark.createDataFrame(train, "lang string, text string"))
+        assert lang_id.identify_languages(ask, model).first()["lang_pred"] == want
 
 
 def test_held_out_accuracy(spark):
