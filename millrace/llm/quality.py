@@ -5,26 +5,32 @@ Random indexing gives each token bucket a sparse ternary index vector; a bucket'
 the sum of those of its neighbours, normalised. A document is the mean of its tokens' vectors with a few counts. The
 network's logits are divided by a temperature fitted on rows left out of its training, so that scores are probabilities.
 
-The model is fitted on a bounded sample of labelled rows (`max_rows`, those with the smallest hash of the id), its size
-does not depend on the corpus. All rows are scored over their whole text.
+Word vectors come from the texts of all documents, labelled or not: each task adds up its own, and the sums are added by
+stripes of the table of buckets. The network is fitted on a bounded sample of labelled rows (`max_rows`, those with the
+smallest hash of the id); their features are made on the executors, so that no text comes to the driver. The model's size does not
+depend on the corpus. All rows are scored over their whole text.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, bound_batches, chunks, word_hashes
+from millrace.llm.common import LOWER, bound_batches, chunks, trimmed, word_hashes
 from millrace.llm.lang_id import fold
 
 BUCKETS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 14, 48, 6, 2, 24
 MAX_ROWS = 4000
+#: Stripes of the table of word vectors, for its distributed sum; tasks whose sums meet in one group first.
+STRIPES, GROUP = 16, 32
 SHAPES = ("lower", "upper", "title", "mixed", "digit", "sign")
 FEATURES = DIM + len(SHAPES) + 5
 WORD, SIGN = 1, 2
@@ -55,6 +61,7 @@ def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield bucket, shape, row, hi - lo
 
 
+@functools.cache
 def index_vectors() -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(11))
     out = np.zeros((BUCKETS, DIM), np.float32)
@@ -96,29 +103,70 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -30, 30)))
 
 
-def word_vectors(texts: pa.Array) -> np.ndarray:
-    """A bucket's index vector plus the sum of those of its neighbours up to WINDOW tokens away, of length 1."""
+def neighbour_sums(texts: pa.Array, out: np.ndarray) -> None:
+    """Add to out, for each bucket, the index vectors of its neighbours up to WINDOW tokens away. Sums are whole numbers."""
     index = index_vectors()
-    out = index.copy()
     for bucket, _, row, _ in tokens(texts):
         for d in range(1, WINDOW + 1):
             near = row[d:] == row[:-d]
             a, b = bucket[d:][near], bucket[:-d][near]
             pair, counts = np.unique(np.concatenate([a * BUCKETS + b, b * BUCKETS + a]), return_counts=True)
-            if len(pair):
-                new = np.concatenate([[0], np.flatnonzero(np.diff(pair // BUCKETS)) + 1])
-                out[pair[new] // BUCKETS] += np.add.reduceat(index[pair % BUCKETS] * counts[:, None].astype(np.float32), new, axis=0)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+            for i in range(0, len(pair), 1 << 15):
+                at = pair[i : i + (1 << 15)]
+                new = np.concatenate([[0], np.flatnonzero(np.diff(at // BUCKETS)) + 1])
+                out[at[new] // BUCKETS] += np.add.reduceat(index[at % BUCKETS] * counts[i : i + (1 << 15), None], new, axis=0)
+
+
+def normalised(sums: np.ndarray) -> np.ndarray:
+    """Word vectors: a bucket's index vector plus its sum, of length 1."""
+    out = index_vectors() + sums
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+
+
+def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stripe, task, sums) of a task's texts."""
+    out = np.zeros((BUCKETS, DIM))
+    for batch in batches:
+        neighbour_sums(batch.column(0), out)
+    task = TaskContext.get().partitionId()
+    some = [(i, part) for i, part in enumerate(np.split(out, STRIPES)) if part.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([task] * len(some), pa.int64()), pa.array([_packed(p) for _, p in some], pa.binary())], names=["stripe", "task", "sums"])
+
+
+def _packed(sums: np.ndarray) -> bytes:
+    return zlib.compress(sums.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
 
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1, DIM)
 
-def train_model(texts: pa.Array, labels: np.ndarray, steps: int = 600, seed: int = 3) -> QualityModel:
-    """Full-batch Adam with class weights of half strength; every fifth row is left out and sets the temperature."""
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"stripe": pdf["stripe"][:1], "task": pdf["task"][:1] // GROUP, "sums": [_packed(sum(map(_unpacked, pdf["sums"])))]})
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Word vectors of all documents' texts. Sums of GROUP tasks meet in a group, then those of GROUP groups, and so on."""
+    schema = "stripe int, task long, sums binary"
+    sums = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(trimmed(_task_sums), schema)
+    tasks = docs.rdd.getNumPartitions()
+    while tasks > 1:
+        sums = sums.groupBy("stripe", F.floor(F.col("task") / GROUP).alias("g")).applyInPandas(_added, schema)
+        tasks = -(-tasks // GROUP)
+    out = np.zeros((STRIPES, BUCKETS // STRIPES, DIM))
+    for r in sums.select("stripe", "sums").collect():
+        out[r["stripe"]] += _unpacked(r["sums"])
+    return normalised(out.reshape(BUCKETS, DIM))
+
+
+def train_model(vectors: np.ndarray, x: np.ndarray, labels: np.ndarray, steps: int = 600, seed: int = 3) -> QualityModel:
+    """From word vectors and the features and labels of rows. Full-batch Adam with class weights of half strength; every fifth row is left out and sets the temperature."""
     rng = np.random.Generator(np.random.PCG64(seed))
     w1, w2 = rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), rng.normal(0, HIDDEN**-0.5, HIDDEN)
-    model = QualityModel(word_vectors(texts), np.zeros(FEATURES), np.ones(FEATURES), w1, np.zeros(HIDDEN), w2, 0.0, 1.0)
+    model = QualityModel(vectors, np.zeros(FEATURES), np.ones(FEATURES), w1, np.zeros(HIDDEN), w2, 0.0, 1.0)
     if not len(labels):
         return QualityModel(model.vectors, model.mean, model.scale, w1, model.b1, w2 * 0, 0.0, 1.0)
-    x, y = model.features(texts).astype(float), labels.astype(float)
+    x, y = x.astype(float), labels.astype(float)
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     model.mean, model.scale = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-3
     z, t = (x[~held] - model.mean) / model.scale, y[~held]
@@ -142,14 +190,25 @@ def train_model(texts: pa.Array, labels: np.ndarray, steps: int = 600, seed: int
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> QualityModel:
-    """Fit on the max_rows labelled rows with the smallest hash of the id (all, if fewer). Rows with a null id or label are
-    left out; an id with several labels takes the smallest. Only that bounded sample comes to the driver."""
+    """Word vectors from all of docs; the network from the max_rows labelled rows with the smallest hash of the id (all, if
+    fewer). Rows with a null id or label are left out; an id with several labels takes the smallest, one with several texts the
+    smallest text. The driver gets FEATURES numbers for each row of that sample, and no text."""
     bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"))
     sample = known.orderBy(F.xxhash64("i"), "i").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("i", "t", "y").limit(2 * max_rows).collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["i"], r["t"] or ""))
-    return train_model(pa.array([r["t"] or "" for r in rows], pa.large_string()), np.array([float(r["y"] == 1) for r in rows]))
+    vectors = word_vectors(docs, text_col)
+    blank = QualityModel(vectors, *[None] * 7)
+
+    @F.pandas_udf("array<float>")
+    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series(list(blank.features(pa.array([x if isinstance(x, str) else "" for x in t], pa.large_string()))))
+
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("t")
+    rows = docs.select(F.col(id_col).alias("i"), text).join(F.broadcast(sample), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    rows = rows.orderBy(F.crc32(F.col("i").cast("string").cast("binary")), "i").select(features("t").alias("x"), F.col("y").eqNullSafe(F.lit(1)).alias("y")).collect()
+    x = np.array([r["x"] for r in rows], np.float32).reshape(-1, FEATURES)
+    return train_model(vectors, x, np.array([float(r["y"]) for r in rows]))
 
 
 def quality_udf(model: QualityModel):
@@ -164,7 +223,7 @@ def quality_udf(model: QualityModel):
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per row: doc_id, score (probability of label 1), predicted (1 if score >= threshold).
 
-    Null texts count as empty; empty texts have a score like all others. A model without labelled rows scores 0.5. Null and
+    Null texts count as empty; empty texts have a score like all others; texts of any length are scored whole. A model without labelled rows scores 0.5. Null and
     repeated ids are kept as they are; an empty table gives an empty result; other columns are ignored.
     """
     out = docs.select(F.col(id_col).alias("doc_id"), quality_udf(model)(F.col(text_col)).alias("score"))

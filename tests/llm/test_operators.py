@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,30 @@ def test_quality(spark, docs):
     assert quality.score_quality(docs.limit(0), none).count() == 0
 
 
+def test_word_vectors_are_those_of_all_documents(spark, docs):
+    """The distributed sums of many tasks against one loop over positions; labels play no part."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (0, 1, 2, 3, 40, 60, 5, 9)] + [None, "One, two; one!"] * 3
+    index, sums = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        for bucket, _, _, _ in quality.tokens(pa.array([t or ""])):
+            for i, b in enumerate(bucket):
+                for j in range(max(0, i - quality.WINDOW), min(len(bucket), i + quality.WINDOW + 1)):
+                    if j != i:
+                        sums[b] += index[bucket[j]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(40)
+    assert np.allclose(quality.word_vectors(df), quality.normalised(sums), atol=1e-6)
+    assert quality.word_vectors(docs.limit(0)).shape == (quality.BUCKETS, quality.DIM)
+
+
+def test_quality_sample_has_one_text_an_id(spark):
+    """Repeated ids with other texts, in any order of rows, give the same model; null ids and labels are left out."""
+    rows = [(i, f"good words number {i} and more of them") for i in range(40)] + [(i, "bad " * i) for i in range(40)] + [(None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 2)] + [(i, None) for i in range(20)] + [(None, 1)], "doc_id long, quality int")
+    a, b = (quality.fit_quality(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 3), (rows[::-1], 7)))
+    assert np.array_equal(a.vectors, b.vectors) and np.allclose(a.w1, b.w1) and a.temperature == b.temperature
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 24)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
