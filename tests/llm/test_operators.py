@@ -319,6 +319,119 @@ def test_contaminated_in_other_case_and_place(spark):
     assert got == [(0, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1), (5, 3, 1)]
 
 
+def brute_template(text):
+    """Words as (template, word): N, U and M stand for numbers, units and names."""
+    raw, out, end = (text or "").encode(), [], 0
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw):
+        w = m[0]
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        opens = not out or re.search(rb'[.!?:;\n\r"]', raw[end : m.start()])
+        if re.search(rb"[0-9]", w):
+            kind = b"<N>"
+        elif out and out[-1][0] == b"<N>" and low.decode("utf-8", "replace") in decontaminate.UNITS:
+            kind = b"<U>"
+        else:
+            kind = b"<M>" if re.match(rb"[A-Z]", w) and re.search(rb"[a-z]", w) and not opens else low
+        out.append((kind, low))
+        end = m.end()
+    return out
+
+
+def brute_windows(words, k):
+    """(place, key, slots): the template reading, and the case-blind one where it differs."""
+    for i in range(len(words) - k + 1):
+        part = words[i : i + k]
+        blind = [(w if t == b"<M>" else t, w) for t, w in part]
+        for reading in [part] + [blind] * (blind != part):
+            slots = [(i + j if t == b"<M>" else -1, w) for j, (t, w) in enumerate(reading) if t in (b"<N>", b"<U>", b"<M>")]
+            yield i, tuple(t for t, _ in reading), slots
+
+
+def brute_contaminated(docs, items, window=8, coverage=0.5):
+    out = {}
+    for item, text in items:
+        words = brute_template(text)
+        if not words:
+            continue
+        k = min(window, len(words))
+        n, index = len(words) - k + 1, collections.defaultdict(list)
+        for i, key, slots in brute_windows(words, k):
+            index[key].append((i, slots, False))
+        if words[0][0] != b"<N>" and any(t not in (b"<N>", b"<U>", b"<M>") for t, _ in words[1:k]):
+            for i, key, slots in brute_windows([(b"<M>", words[0][1]), *words[1:k]], k):
+                if key[0] == b"<M>":
+                    index[key].append((i, slots, True))
+        for doc, body in docs:
+            ways = collections.defaultdict(list)
+            for at, key, slots in brute_windows(brute_template(body), k):
+                for i, own, fixed in index.get(key, ()):
+                    if not fixed or slots[0][1] == own[0][1]:
+                        ways[at, i].append([(p, x, y) for (p, x), (_, y) in zip(own, slots, strict=True)])
+            chains = []
+            for at, i in sorted(ways):
+                before = [c for c in chains if c[-1] == (at - 1, i - 1)]
+                fits = [c for c in chains if 0 < at - c[-1][0] <= i - c[-1][1] + len(words) and c[-1][1] < i]
+                drift = lambda c: abs(at - i - c[-1][0] + c[-1][1])  # noqa: B023, E731
+                best = before[0] if before else max(fits, key=lambda c: (len(c), -drift(c), c[-1]), default=[])  # noqa: B023
+                chains.append([*best, (at, i)])
+            for c in chains:
+                pairs = {p for m in c for w in ways[m] for p in w}
+                names = {x for p, x, _ in pairs if p >= 0}
+                votes = lambda x, y: len({p for p, a, b in pairs if p >= 0 and (a, b) == (x, y)})  # noqa: B023, E731
+                places = lambda x: len({(p, b) for p, a, b in pairs if p >= 0 and a == x})  # noqa: B023, E731
+                stands = {(x, y) for p, x, y in pairs if p >= 0 and (x == y or 2 * votes(x, y) > places(x))}
+                clear = names <= {x for x, _ in stands}
+                good = lambda p: p[0] < 0 or p[1] == p[2] or (clear and p[1:] in stands)  # noqa: B023, E731
+                held = sum(any(all(map(good, w)) for w in ways[m]) for m in c)
+                rank = (held / n, -len({x for _, x, y in pairs if x != y}), held)
+                if held and held >= coverage * n and rank > out.get((doc, item), (0,)):
+                    out[doc, item] = rank
+    return {k: (held, share, -changed) for k, (share, changed, held) in out.items()}
+
+
+def found_items(docs, items):
+    return {(r["doc_id"], r["item_id"]): (r["n_windows"], r["coverage"], r["slots_changed"]) for r in decontaminate.contaminated(docs, items).collect()}
+
+
+def test_contaminated_like_brute_force(spark):
+    """A whole table, and documents made of items with other slots, inserted, dropped and repeated words."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    rng = np.random.default_rng(8)
+    questions = [r["text"] for r in items.collect()][:12] + ["go to Rome and go to Rome and go to Rome with Ann and 3 kg", "while the old train runs from Paris to Rome the late bus goes back again from Rome to Paris every single day"]
+    made, names = [], ["Kyiv", "Lima", "Oslo", "Rome", "12", "7", "kg"]
+    for n in range(120):
+        words = questions[rng.integers(len(questions))].split()
+        for _ in range(rng.integers(0, 8)):
+            i = int(rng.integers(0, len(words)))
+            what = rng.integers(0, 4)
+            words[i : i + 1] = [[words[i], "put", "in"], [], [words[i]] * 2, [names[rng.integers(len(names))]]][what]
+        made.append((10**6 + n, "So " + " ".join(words) + (" And " + " ".join(words[:20]) if n % 3 == 0 else "")))
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    asked = items.select("item_id", "text").union(spark.createDataFrame([(1000 + i, q) for i, q in enumerate(questions[12:])], "item_id long, text string"))
+    want = brute_contaminated([tuple(r) for r in rows.collect()], [tuple(r) for r in asked.collect()])
+    assert found_items(rows, asked) == want and len(want) > 40
+
+
+def test_slots_are_checked_over_the_whole_passage(spark):
+    item = "while the old train runs from Paris to Rome the late bus goes back again from Rome to Paris every single day"
+    df = lambda xs, c: spark.createDataFrame(xs, f"{c} long, text string")
+    half = "So while the old train runs from {} to {} the late bus goes {} back again from {} to {} every single day"
+    texts = [half.format("Kyiv", "Oslo", put, "Oslo" if same else "Lima", "Kyiv" if same else "Bern") for put in ("", "one two three four five") for same in (True, False)]
+    got = found_items(df(list(enumerate(texts)), "doc_id"), df([(1, item)], "item_id"))
+    assert sorted(d for d, _ in got) == [0, 2] and got[0, 1][1] == 1.0 and got[2, 1][1] >= 0.5
+
+
+def test_contaminated_with_repeated_rows_and_long_texts(spark):
+    item = "a question of more than eight plain words that stands in the middle of nothing"
+    filler = " ".join(f"filler{i}" for i in range(2000))
+    long = (filler + " ") * 150
+    rows = [(1, f"so {item}"), (1, "other"), (1, f"so {item}"), (2, long + item + " " + long), (3, long), (None, item), (4, "word " * 300_000), (5, "go " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (1, item), (1, "another item with the same id and eight words or so"), (2, ""), (None, item), (3, "go " * 40)], "item_id long, text string")
+    got = found_items(docs, items)
+    assert set(got) == {(1, 1), (2, 1), (5, 3)} and got[1, 1][1] == got[2, 1][1] == got[5, 3][1] == 1.0
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 18])
 def test_token_counts(spark, block):
     texts = ["hello world", "", None, "<|endoftext|> is text here", "x", "naïve 中文", "y " * 40]
