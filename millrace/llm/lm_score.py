@@ -1,13 +1,20 @@
-"""Cross-entropy difference of two word bigram models over one shared vocabulary.
+"""Cross-entropy difference of two word bigram models that share one vocabulary.
 
-The background model counts all documents, the target model those where `is_target` holds. Both give the pair (previous
-word, word) the probability (count + mass / V^2) / (total + mass), V being the number of distinct words of all documents
-plus one for the start. A token's loss is the negative logarithm; a document's score is the mean over its tokens of target
-loss less background loss (lower: nearer to the target). A document's own counts are left out of both models, so that a
-document of the target does not vouch for itself.
+Events are the words of a text and its end, each after the word before it (the first after a start sign). With V the number
+of distinct words of all documents, the end counted, both models are
 
-Counts are exact and grow with the corpus. Each slice of text sends every reducer one packed block with its distinct
-(pair, document, count) entries, so the corpus's pairs are shuffled once, at about eight bytes an entry.
+    P(w)     = (c(w) + ADD) / (N + ADD * V)
+    P(w | p) = (c(p, w) + MU * P(w)) / (c(p) + MU)
+
+The target model counts the documents where `is_target` holds, the background model all documents. They are matched: same
+order, same vocabulary, same smoothing and same mass, as the background's counts are scaled to the number of the target's
+events. Each count of the corpus goes into it, and a model is not smoothed less for being larger. An event's loss is
+-log P(w | p); a document's score is the mean over its events of target loss less background loss (lower: nearer to the
+target). A document's own counts are left out of both models, so that a document of the target does not vouch for itself.
+
+Counts are exact. Texts are cut into slices of some megabytes. A slice sends each reducer one packed block with its distinct
+keys (words and pairs) and their counts, so a key, however frequent, has one entry a slice. The reducer sends the sums back in
+the order of the block, and the slice's own entries, kept in one packed row, are scored with them.
 """
 
 from __future__ import annotations
@@ -21,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, MIX, SPACE, STEP, chunks, mix, powers, spans, word_hashes
+from millrace.llm.common import LOWER, MIX, SPACE, STEP, bound_batches, chunks, mix, powers, spans, trimmed, word_hashes
 
-START = np.uint64(0x51ED270B0B5C4E21)
+START, END = np.uint64(0x51ED270B0B5C4E21), np.uint64(0x2545F4914F6CDD1D)
+ADD, MU = 0.5, 2.0
 SLICE = 1 << 22
-LEAST_PARTS, PART_TOKENS = 64, 4_000_000
+LEAST_PARTS, PART_EVENTS = 64, 4_000_000
+LEVEL = 1
 
 
 def word_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -37,13 +46,15 @@ def word_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarr
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's distinct words, and its numbers of tokens in a row with a null word."""
+    """A task's distinct words, and its numbers of events in a row with a null word."""
     seen, parts, n_all, n_target = np.zeros(0, np.uint64), [], 0, 0
     for batch in batches:
         target = batch.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, h, first in word_slices(batch.column(0), SLICE):
-            n_all += len(h)
-            n_target += int(np.diff(first)[target[lo:hi]].sum())
+            n = np.diff(first)
+            n += n > 0
+            n_all += int(n.sum())
+            n_target += int(n[target[lo:hi]].sum())
             parts.append(np.unique(h))
             if sum(map(len, parts)) > 1 << 21:
                 seen, parts = np.unique(np.concatenate([seen, *parts])), []
@@ -54,123 +65,150 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_all]), pa.array([n_target])], names=["w", "n_all", "n_target"])
 
 
-def pack(h: np.ndarray) -> bytes:
-    """Sorted hashes as byte planes of their differences; the upper planes are mostly zero."""
-    d = np.diff(h, prepend=np.uint64(0))
-    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes; the upper planes are mostly zero."""
+    kind = np.dtype("<u8") if x.dtype == np.uint64 else np.dtype("<u4")
+    raw = x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+    return pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
+
+
+def unpacked(b: bytes, n: int, width: int = 4) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(b, n * width, asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
 
 
-def unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+def events(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a slice's rows: word and row of each event. Rows without words have none."""
+    n = np.diff(first)
+    some = np.flatnonzero(n)
+    at = first[1:][some]
+    return np.insert(h, at, END), np.insert(np.repeat(np.arange(len(n)), n), at, some)
 
 
-def planes(x: np.ndarray) -> bytes:
-    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(prev * STEP + word * MIX)
 
 
-def unplanes(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+def word_key(word: np.ndarray) -> np.ndarray:
+    """The key of a word as such; START stands for the number of texts."""
+    return mix(word * MIX + np.uint64(1))
+
+
+def slice_keys(words: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's events, given as places in its distinct words: its sorted keys, and among these the places of each event's
+    pair, of each distinct word and of START."""
+    word = words[at]
+    prev = np.empty_like(word)
+    prev[1:], prev[first] = word[:-1], START
+    used, place = np.unique(np.concatenate([pair_key(prev, word), word_key(words), word_key(np.array([START]))]), return_inverse=True)
+    return used, place[: len(at)], place[len(at) : -1], place[-1]
 
 
 def _blocks(parts: int):
-    """A slice's rows (p, slice, size, h, row, count, and in one of them the documents' ids, token counts and flags)."""
+    """Of each slice, rows (slice, p, size, keys, counts in all rows and in target rows), one a part, and in one row of each
+    slice what scoring it needs: ids, numbers of events, flags, its distinct words, and the place of each event's word there."""
     powers(1)
-    names = ["p", "slice", "size", "h", "at", "c", "flags", "doc_id", "n", "target"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    names = ["slice", "p", "size", "keys", "c", "t", "doc_id", "n", "target", "d", "words", "m", "at"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    inner = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = pa.Codec("zstd", compression_level=1)
-        number = TaskContext.get().partitionId() << 24
+        number = TaskContext.get().partitionId() << 28
         for batch in batches:
             ids, target = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, h, first in word_slices(batch.column(1), SLICE):
-                n = np.diff(first)
-                before = np.concatenate([[START], h[:-1]]) if len(h) else h
-                before[first[:-1][n > 0]] = START
-                pair, row = mix(before * STEP + h * MIX), np.repeat(np.arange(hi - lo), n)
-                order = np.lexsort((row, pair))
-                pair, row = pair[order], row[order]
-                new = np.ones(len(pair), bool)
-                new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
-                at = np.flatnonzero(new)
-                pair, row, count = pair[at], row[at], np.diff(np.append(at, len(new)))
-                bounds = np.searchsorted(pair, (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64))
-                flags = np.packbits(target[lo:hi]).tobytes()
+                word, row = events(h, first)
+                words, at = np.unique(word, return_inverse=True)
+                opens = np.flatnonzero(np.diff(row, prepend=-1))
+                used, pair, of_word, start = slice_keys(words, at, opens)
+                own = target[lo:hi][row]
+                c, t = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64)
+                for counts, some in ((c, slice(None)), (t, own)):
+                    counts += np.bincount(pair[some], minlength=len(used)) + np.bincount(of_word[at[some]], minlength=len(used))
+                c[start], t[start] = len(opens), own[opens].sum()
+                edges = [0, *np.searchsorted(used, inner), len(used)]
+                about = [ids[lo:hi].to_pylist(), np.bincount(row, minlength=hi - lo), target[lo:hi], len(words), packed(words), len(at), packed(at)]
                 cols: dict[str, list] = {k: [] for k in names}
-                for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(pair)], strict=True)):
-                    mine = p == number % parts
-                    if a == b and not mine:
-                        continue
-                    raw = [pack(pair[a:b]), planes(row[a:b]), planes(count[a:b])]
-                    about = [ids[lo:hi].to_pylist(), n, target[lo:hi]] if mine else [None] * 3
-                    for k, v in zip(names, [p, number, b - a, *(zstd.compress(x, asbytes=True) for x in raw), flags, *about], strict=True):
-                        cols[k].append(v)
+                for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    home = p == number % parts
+                    if a < b or home:
+                        block = [number, p, b - a, packed(np.diff(used[a:b], prepend=np.uint64(0))), packed(c[a:b]), packed(t[a:b])]
+                        for k, v in zip(names, block + (about if home else [None] * 7), strict=True):
+                            cols[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in zip(names, kinds, strict=True)], names=names)
                 number += 1
 
-    return run
+    return trimmed(run)
 
 
-def _losses(prior: float):
-    """Per slice of a part: rows with entries here, and their sums of count * log(count elsewhere + prior) in both models."""
+ABOUT = "doc_id array<long>, n array<long>, target array<boolean>, d long, words binary, m long, at binary"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        zstd = pa.Codec("zstd", compression_level=1)
-        size = pdf["size"].to_numpy()
-        h, at, c = ([f(zstd.decompress(b, n * w, asbytes=True)) for b, n in zip(pdf[k], size, strict=True)] for k, f, w in (("h", unpack, 8), ("at", unplanes, 4), ("c", unplanes, 4)))
-        h, at, c, part = np.concatenate(h), np.concatenate(at), np.concatenate(c).astype(np.int64), np.repeat(np.arange(len(size)), size)
-        order = np.argsort(h, kind="stable")
-        new = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
-        reps = np.diff(np.append(new, len(h)))
-        target = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[a] for f, a in zip(pdf["flags"], np.split(at, np.cumsum(size)[:-1]), strict=True)]).astype(np.int64)
-        key = part.astype(np.int64) << 32 | at
-        docs, of = np.unique(key, return_inverse=True)
-        sums = []
-        for weight in (c * target, c):
-            w = weight[order]
-            rest = np.empty(len(h))
-            rest[order] = (np.repeat(np.add.reduceat(w, new), reps) - w) if len(h) else w
-            sums.append(np.bincount(of, weights=c * np.log(rest + prior), minlength=len(docs)).astype(np.float32))
-        ends = np.searchsorted(docs >> 32, np.arange(len(size) + 1))
-        pieces = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in ((docs & 0xFFFFFFFF).astype(np.uint32), *sums)]
-        return pd.DataFrame({"slice": pdf["slice"], "at": [zstd.compress(x, asbytes=True) for x in pieces[0]], "t": pieces[1], "b": pieces[2], "doc_id": pdf["doc_id"], "n": pdf["n"], "target": pdf["target"]})
 
-    return run
+def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Over the blocks of a part: the same blocks with the sums of all slices instead of their own counts."""
+    size = pdf["size"].to_numpy()
+    read = lambda k, w: [unpacked(b, n, w) for b, n in zip(pdf[k], size, strict=True)]
+    _, at = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k in read("keys", 8)]), return_inverse=True)
+    ends = np.cumsum(size)[:-1]
+    for k in ("c", "t"):
+        total = np.bincount(at, weights=np.concatenate(read(k, 4))).astype(np.uint64)
+        pdf[k] = [packed(x) for x in np.split(total[at], ends)]
+    return pdf.drop(columns="keys")
+
 
+def _scored(v: int, n_all: int, n_target: int):
+    """A slice's documents, from its blocks in order of part."""
+    scale = n_target / n_all if n_target and n_all else 1.0
 
-def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a slice's documents over all parts."""
-    zstd = pa.Codec("zstd", compression_level=1)
-    about = pdf[pdf["doc_id"].notna()].iloc[0]
-    t, b = np.zeros(len(about["n"])), np.zeros(len(about["n"]))
-    for at, x, y in zip(pdf["at"], pdf["t"], pdf["b"], strict=True):
-        i = np.frombuffer(zstd.decompress(at, len(x), asbytes=True), np.uint32)
-        t[i] += np.frombuffer(x, np.float32)
-        b[i] += np.frombuffer(y, np.float32)
-    return pd.DataFrame({"doc_id": pd.array(list(about["doc_id"]), "Int64"), "n_tokens": about["n"], "is_target": about["target"], "t": t, "b": b})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p")
+        c, t = (np.concatenate([unpacked(b, n, 8) for b, n in zip(pdf[k], pdf["size"], strict=True)]).astype(np.float64) for k in ("c", "t"))
+        about = pdf[pdf["m"].notna()].iloc[0]
+        n, target = np.asarray(about["n"], np.int64), np.asarray(about["target"], bool)
+        m, words = int(about["m"]), unpacked(about["words"], int(about["d"]), 8)
+        at = unpacked(about["at"], m)
+        row, opens = np.repeat(np.arange(len(n)), n), (np.cumsum(n) - n)[n > 0]
+        _, pair, of_word, start = slice_keys(words, at, opens)
+        word = of_word[at]
+        prev = np.empty_like(word)
+        prev[1:], prev[opens] = word[:-1], start
+        # The document's own counts; it has one start sign.
+        key = lambda k: row * np.int64(len(c)) + k
+        keys, own = np.unique(np.concatenate([key(pair), key(word)]), return_counts=True)
+        own_pair, own_word = (own[np.searchsorted(keys, key(k))] for k in (pair, word))
+        own_prev = np.empty_like(own_word)
+        own_prev[1:], own_prev[opens] = own_word[:-1], 1
+        losses = []
+        for counts, total, mine, weight in ((t, n_target, target[row], 1.0), (c, n_all, np.ones(m, bool), scale)):
+            less = lambda k, o: weight * (counts[k] - o * mine)  # noqa: B023, E731
+            unigram = (less(word, own_word) + ADD) / (weight * (total - n[row] * mine) + ADD * v)
+            p = (less(pair, own_pair) + MU * unigram) / (less(prev, own_prev) + MU)
+            losses.append(np.bincount(row, weights=-np.log(p), minlength=len(n)) / np.maximum(n, 1))
+        return pd.DataFrame({"doc_id": pd.array(list(about["doc_id"]), "Int64"), "n_events": n, "is_target": target, "loss_target": losses[0], "loss_background": losses[1]})
+
+    return run
 
 
-def cross_entropy_difference(docs: DataFrame, is_target, id_col: str = "doc_id", text_col: str = "text", mass: float = 1.0, parts: int | None = None) -> DataFrame:
-    """Per input row: doc_id, n_tokens, is_target, loss_target, loss_background, score (their difference).
+def cross_entropy_difference(docs: DataFrame, is_target, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """Per input row: doc_id, n_tokens (words), is_target, loss_target, loss_background, score (their difference).
 
     Words are lower-cased (A-Z) runs without white space. Null texts and texts without words have n_tokens 0 and 0.0 in the
     three others. A null is_target counts as false. Null and repeated ids stay rows of their own; repeated rows count
-    each. With an empty target all its losses are those of the uniform model. Empty tables give no rows.
+    each. With an empty target its losses are those of the uniform model, and the background is not scaled. Texts of any length count
+    whole. Empty tables give no rows. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     target = F.coalesce(is_target, F.lit(False))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), target.alias("target"))
-    words = src.select("text", "target").mapInArrow(_vocabulary, "w long, n_all long, n_target long")
+    words = src.select("text", "target").mapInArrow(trimmed(_vocabulary), "w long, n_all long, n_target long")
     per_word = words.groupBy("w").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t"))
     v, n_all, n_target = per_word.agg(F.count("w"), F.sum("a"), F.sum("t")).first()
     n_all, n_target = n_all or 0, n_target or 0
-    parts = parts or max(LEAST_PARTS, n_all // PART_TOKENS)
-    schema = "p int, slice long, size long, h binary, at binary, c binary, flags binary, doc_id array<long>, n array<long>, target array<boolean>"
-    blocks = src.mapInArrow(_blocks(parts), schema)
-    sums = blocks.groupBy("p").applyInPandas(_losses(mass / (v + 1) ** 2), "slice long, at binary, t binary, b binary, doc_id array<long>, n array<long>, target array<boolean>")
-    one = sums.groupBy("slice").applyInPandas(_by_document, "doc_id long, n_tokens long, is_target boolean, t double, b double")
-    own = F.when(F.col("is_target"), F.col("n_tokens")).otherwise(0)
-    loss = lambda s, total: F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.log(total + F.lit(mass)) - F.col(s) / F.col("n_tokens"))
-    out = one.select("doc_id", "n_tokens", "is_target", loss("t", F.lit(n_target) - own).alias("loss_target"), loss("b", F.lit(n_all) - F.col("n_tokens")).alias("loss_background"))
+    parts = parts or max(LEAST_PARTS, n_all // PART_EVENTS)
+    blocks = src.mapInArrow(_blocks(parts), f"slice long, p long, size long, keys binary, c binary, t binary, {ABOUT}")
+    sums = blocks.groupBy("p").applyInPandas(_sums, f"slice long, p long, size long, c binary, t binary, {ABOUT}")
+    one = sums.groupBy("slice").applyInPandas(_scored(v + 1, n_all, n_target), "doc_id long, n_events long, is_target boolean, loss_target double, loss_background double")
+    out = one.select("doc_id", F.greatest(F.col("n_events") - 1, F.lit(0)).alias("n_tokens"), "is_target", "loss_target", "loss_background")
     return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 

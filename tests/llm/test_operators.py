@@ -237,26 +237,55 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_cross_entropy(docs):
+def brute_losses(rows, target):
+    """(words, target loss, background loss) of each text, by two interpolated bigram models in plain Python."""
+    ways = [[*w, "</s>"] if (w := words(t)) else [] for t in rows]
+    models = [(collections.Counter(), collections.Counter(), collections.Counter()) for _ in range(2)]
+    for w, t in zip(ways, target, strict=True):
+        for m in models[: 1 + t]:
+            m[0].update(w)
+            m[1].update(zip(["<s>", *w[:-1]], w, strict=False))
+            m[2].update(["<s>", *w[:-1]] if w else [])
+    v = len({x for w in ways for x in w[:-1]}) + 1
+    n_all, n_ours = (sum(m[0].values()) for m in models)
+    out = []
+    for w, t in zip(ways, target, strict=True):
+        prev = ["<s>", *w[:-1]]
+        own = collections.Counter(w), collections.Counter(zip(prev, w, strict=False)), collections.Counter(prev)
+        loss = []
+        for m, mine, scale in ((models[1], t, 1.0), (models[0], True, n_ours / n_all if n_ours else 1.0)):
+            c = lambda i, k: scale * (m[i][k] - mine * own[i][k])  # noqa: B023, E731
+            n, total = len(w), scale * (sum(m[0].values()) - mine * len(w))
+            uni = lambda x: (c(0, x) + lm_score.ADD) / (total + lm_score.ADD * v)  # noqa: B023, E731
+            p = [(c(1, g) + lm_score.MU * uni(g[1])) / (c(2, g[0]) + lm_score.MU) for g in zip(prev, w, strict=False)]  # noqa: B023
+            loss.append(-sum(map(math.log, p)) / n if n else 0.0)
+        out.append((max(0, len(w) - 1), *loss))
+    return out
+
+
+@pytest.mark.parametrize("name", ["s1", "none"])
+def test_cross_entropy(docs, name):
     rows = docs.collect()
-    pairs = [collections.Counter(zip([None, *(w := words(r["text"]))], w, strict=False)) for r in rows]
-    target = [r["source"] == "s1" for r in rows]
-    all_, ours = collections.Counter(), collections.Counter()
-    for p, t in zip(pairs, target, strict=True):
-        all_.update(p)
-        ours.update(p if t else {})
-    v = len({w for r in rows for w in words(r["text"])})
-    n_all, n_ours, prior = sum(all_.values()), sum(ours.values()), 1 / (v + 1) ** 2
-    want = []
-    for r, p, t in zip(rows, pairs, target, strict=True):
-        n = sum(p.values())
-        loss = lambda c, total, own: 0.0 if not n else math.log(total - own * n + 1) - sum(k * math.log(c[g] - own * k + prior) for g, k in p.items()) / n  # noqa: B023, E731
-        want.append((r["doc_id"] if r["doc_id"] is not None else -1, n, loss(ours, n_ours, int(t)), loss(all_, n_all, 1)))
-    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["loss_target"], r["loss_background"]) for r in lm_score.cross_entropy_difference(docs, F.col("source") == "s1").collect()]
-    assert np.allclose(np.array(sorted(got), float), np.array(sorted(want), float), atol=1e-4)
+    want = brute_losses([r["text"] for r in rows], [r["source"] == name for r in rows])
+    key = lambda r: -1 if r["doc_id"] is None else r["doc_id"]
+    got = [(key(r), r["n_tokens"], r["loss_target"], r["loss_background"]) for r in lm_score.cross_entropy_difference(docs.repartition(3), F.col("source") == name).collect()]
+    want = [(key(r), *w) for r, w in zip(rows, want, strict=True)]
+    assert np.allclose(np.array(sorted(got), float), np.array(sorted(want), float), rtol=1e-10, atol=1e-10)
     assert lm_score.cross_entropy_difference(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_probabilities_add_up():
+    """Both models share one vocabulary: over all words and the end, P(w | p) is 1."""
+    texts = ["a b a c", "b b", "c a b d"]
+    v = ["a", "b", "c", "d", "</s>"]
+    add, mu, n = lm_score.ADD, lm_score.MU, 13
+    flat = [w for t in texts for w in [*t.split(), "</s>"]]
+    pairs = collections.Counter(g for t in texts for g in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True))
+    for p in ["<s>", "a", "b", "c", "d"]:
+        of_p = len(texts) if p == "<s>" else flat.count(p)
+        assert sum((pairs[p, w] + mu * (flat.count(w) + add) / (n + add * len(v))) / (of_p + mu) for w in v) == pytest.approx(1)
+
+
 def test_mixing(docs):
     got = mixing.mix_sources(docs).collect()
     sizes = collections.Counter()
