@@ -218,7 +218,7 @@ def test_neighbours(spark):
     rows += [(2000, None, 0), (2020, [0.0] * 24, 0), (2040, [math.nan] + [1.0] * 23, 0), (2060, [None] + [1.0] * 23, 0), (2080, [math.inf] * 24, 0), rows[7], (2100, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, index_block=700, query_block=50).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, index_block=700).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hit = total = 0
     x = x.astype(float)
@@ -237,6 +237,39 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n,group", [(2000, 1), (32768, 1), (32768, 200), (32768, 8192)])
+def test_forest_recall_and_share(n, group):
+    """Recall against brute force and the part of the vectors that is read, without clusters and with clusters of `group`."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    if group > 1:
+        x = rng.standard_normal((n // group + 1, 64))[np.arange(n) // group] + 0.3 * x
+    share = ann.fitted_share(x[rng.permutation(n)[: ann.SAMPLE]], 20, 0.93, ann.TREES)
+    recall, read = ann.measured(x, ann.PrefixForest(x), np.arange(0, n, max(20, n // 300)), 20, share)
+    print(f"{n} vectors, clusters of {group}: share {share}, recall {recall:.3f}, read {read:.3f}")
+    assert recall >= 0.9 and read < (0.75 if n == 2000 else 0.5)
+
+
+def test_forest_ranges_are_prefixes():
+    """The ascent stops at the longest common prefix with enough strings in all trees, and the last level's trees join in turn."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8))
+    forest = ann.PrefixForest(x, trees=5)
+    flat = np.concatenate([x, np.zeros((400, 1))], axis=1).astype(np.float32)
+    longer = np.concatenate([x, np.sqrt(np.linalg.norm(x, axis=1).max() ** 2 - np.linalg.norm(x, axis=1) ** 2)[:, None]], axis=1).astype(np.float32)
+    index, ask = ([forest.strings(v, *p) for p in forest.planes] for v in (longer, flat))
+    depths = [0, *range(forest.digit, ann.BITS + 1)]
+    for i, got in zip(range(10), forest.candidates(x[:10], 30, 0.0), strict=True):
+        hits = {d: [np.flatnonzero(s >> np.uint64(64 - d) == q[i] >> np.uint64(64 - d)) if d else np.arange(400) for s, q in zip(index, ask, strict=True)] for d in depths}
+        depth = max(d for d in depths if sum(map(len, hits[d])) >= 30)
+        want, inner = list(hits[next(d for d in [*depths, 99] if d > depth)]) if depth < ann.BITS else [[]] * 5, hits[depth]
+        for t in range(5):
+            if sum(map(len, want)) >= 30:
+                break
+            want[t] = inner[t]
+        assert set(got) == set(np.concatenate(want).astype(int))
+
+
 def brute_losses(rows, target):
     """(words, target loss, background loss) of each text, by two interpolated bigram models in plain Python."""
     ways = [[*w, "</s>"] if (w := words(t)) else [] for t in rows]
