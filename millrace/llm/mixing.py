@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Documents get hash-random keys (MD5 of the id and a seed). Within a source the keys are range-sorted: the leading twelve
+Documents get hash-random keys (MD5 of a seed and the id, or of the text where there is no id). Within a source the keys are range-sorted: the leading twelve
 bits name one of 4,096 ranges, whose word counts are summed and accumulated over the ranges of a source, and the rest is
 accumulated within each range. So no task orders a whole source, however large, and each source is cut at its exact budget;
 a budget above the source's size repeats whole epochs first. The document at the cut gives its first words only.
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 
@@ -45,10 +47,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source of their own; null ids share one key; ties of the key go by id, size and text. Repeated rows count each (equal rows
     differ in their place only). Sources without words take nothing. Empty tables give no rows. Reruns agree."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), own))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), F.xxhash64(text_col).alias("tie"))
     from_key = F.substring("key", 1, 3).alias("part")
-    rows = rows.withColumn("part", from_key)
+    # Written once: the texts are read and their words counted in one scan, and all that follows works on these short rows.
+    rows = cut(rows.withColumn("part", from_key), "mix-rows")
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), weights, percent, most)
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +74,7 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || CAST(doc_id AS VARCHAR)) AS k, text,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k, text,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (
