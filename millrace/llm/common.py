@@ -188,7 +188,7 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(m, np.uint64(k) * MIX, np.uint64)
+    out = np.full(m, k * int(MIX) & (1 << 64) - 1, np.uint64)
     for j in range(k):
         out = out * STEP + h[j : j + m]
     return mix(out)

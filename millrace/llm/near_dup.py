@@ -26,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, SPACE, bitmap_of, bound_batches, chunks, cut, in_bitmap, mix, powers, spans, trimmed, windows, word_hashes
+from millrace.llm.common import LOWER, SPACE, bitmap_bits, bitmap_of, bound_batches, chunks, cut, in_bitmap, mix, powers, remove, spans, trimmed, windows, word_hashes
 
 BANDS, ROWS, BATCH, BATCHES = 32, 4, 16, 4
 HASHES = BANDS * ROWS + BATCH * BATCHES
-BLOCK = 512
+#: Members and shingles of a block, about; a set with more shingles is a block of its own.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -219,11 +220,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("changed")), "labels")
     while labels.filter("changed").limit(1).count():
-        old = labels.select("node", "label")
+        last, old = labels, labels.select("node", "label")
         near = both.join(old.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = near.join(old.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("node"), F.col("label").alias("was"), F.least("m", "label").alias("m"))
         jump = step.join(old.select(F.col("node").alias("m"), F.col("label").alias("far")), "m")
         labels = cut(jump.select("node", F.least("m", "far").alias("label"), (F.least("m", "far") != F.col("was")).alias("changed")), "labels")
+        remove(last)
+    remove(both)
     return labels.select("node", "label")
 
 
@@ -242,16 +245,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets are one node, called by its smallest doc_id.
     named = rows.filter("node is not null and doc_id is not null").select("node", "doc_id")
     firsts = cut(named.groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
-    own = rows.select("node", "doc_id", "bands", "sig").join(firsts.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    own = rows.select("node", "doc_id", "n", "bands", "sig").join(firsts.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi")
     nodes = cut(own.dropDuplicates(["node", "doc_id"]), "nodes")
     member = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     pivots = member.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last").select("key", "pivot")
     buckets = cut(member.join(pivots, "key").distinct(), "buckets")
     wanted = buckets.select("node").distinct()
-    few = nodes.select(F.col("doc_id").alias("node"), F.col("node").alias("digest"), "sig").join(wanted, "node", "left_semi")
+    few = nodes.select(F.col("doc_id").alias("node"), F.col("node").alias("digest"), "n", "sig").join(wanted, "node", "left_semi")
     few = cut(few, "few")
     sigs = few.select("node", "sig")
-    bitmap = bitmap_of(few.select(_wanted_key_sql().alias("h")), "h")
+    bitmap = bitmap_of(few.select(_wanted_key_sql().alias("h")), "h", bitmap_bits(few.count()))
     found = src.mapInArrow(_sets(k, bitmap), "digest binary, s binary")
     sets = cut(found.join(few.select("node", "digest"), "digest").dropDuplicates(["digest"]).select("node", "s"), "sets")
 
@@ -267,15 +270,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    rest = F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0))
-    mixed = sizes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.greatest(F.ceil(rest / BLOCK), F.lit(1)).alias("blocks")).filter("lo != hi")
-    named = named.join(sizes.join(mixed.select("key", "blocks"), "key"), ["key", "label"])
-    alone = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))
-    named = named.select("key", "node", "label", F.when(F.col("c") >= BLOCK, alone).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    mixed = sizes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    # A node may have sets of several sizes, if texts share its id; each of them is in the class of its size.
+    level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long").alias("level")
+    levels = few.select("node", "n", level).groupBy("node", "level").agg(F.max("n").alias("n"))
+    named = named.join(sizes.join(mixed, "key"), ["key", "label"]).join(levels, "node")
+    own = F.when(F.col("c") >= BLOCK, F.col("label"))
+    named = named.select("key", "node", "label", "n", "level", own.alias("own"))
+    groups = named.groupBy("key", "level", "own").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    groups = groups.select(F.col("key").alias("k"), F.col("level").alias("l"), F.col("own").alias("o"), "blocks")
+    named = named.join(groups, (F.col("key") == F.col("k")) & (F.col("level") == F.col("l")) & F.col("own").eqNullSafe(F.col("o")))
+    block = F.xxhash64("level", F.coalesce("own", F.lit(0)), F.pmod(F.xxhash64("node"), F.col("blocks")))
+    named = cut(named.select("key", "node", "label", "level", block.alias("block")), "blocks")
     # Many buckets hold the same members: one of them stands for all.
-    info = named.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("same"), F.count(F.lit(1)).alias("n"))
-    left, right = (info.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("block", "lo", "hi", "same", "n")]) for s in "ij")
-    tasks = left.join(right, "key").filter("iblock <= jblock and (ilo != jhi or ihi != jlo)")
+    info = named.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("same"), F.count(F.lit(1)).alias("n"), F.first("level").alias("level"))
+    left, right = (info.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("block", "lo", "hi", "same", "n", "level")]) for s in "ij")
+    tasks = left.join(right, "key").filter("iblock <= jblock and (ilo != jhi or ihi != jlo) and abs(ilevel - jlevel) <= 1")
     tasks = tasks.groupBy("isame", "jsame", "in", "jn").agg(F.min(F.struct("key", F.col("iblock").alias("ib"), F.col("jblock").alias("jb"))).alias("t")).select("t.*")
     sides = F.explode(F.when(F.col("ib") == F.col("jb"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))
     sided = tasks.withColumn("side", sides).withColumn("block", F.when(F.col("side") == 1, F.col("jb")).otherwise(F.col("ib")))
@@ -285,8 +295,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = cut(work.mapInArrow(_block_links(percent, miss), "a long, b long"), "more-links")
     labels = components(links.union(more)) if more.limit(1).count() else labels
 
-    names = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("label", "first").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
+    names = cut(firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("label", "first").alias("component_id")), "names")
+    remove(firsts, nodes, buckets, few, sets, links, named, more)
+    # Rows without a node stay out of the join, where all of them would be one key.
+    lone = rows.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"), "node", F.lit(None).cast("long").alias("component_id"))
+    out = rows.filter("node is not null").select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left").select(lone.columns).union(lone)
     component = F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

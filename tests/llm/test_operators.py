@@ -81,6 +81,19 @@ def test_near_duplicates_in_large_families(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_of_many_sizes_in_one_bucket(spark, monkeypatch):
+    """Nested sets share buckets at all sizes; blocks of few members and shingles lose no link."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    rows = [(i, " ".join(base[: int(n)])) for i, n in enumerate(rng.integers(20, 300, 160))]
+    rows += [(1000 + i, " ".join([*base[:100], *[f"x{rng.integers(0, 10**6)}" for _ in range(int(n))]])) for i, n in enumerate(rng.integers(0, 60, 80))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    want = brute_components(rows, 4)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
+
+
 def test_blocks_link_like_all_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64) << np.uint64(40)) for _ in range(40)]
@@ -544,9 +557,29 @@ def test_licenses(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
 
 
+def test_rolling_hashes(spark):
+    """Equal spans have equal hashes, others do not, whatever k is; templates are a table of the caller's."""
+    rng = np.random.default_rng(7)
+    rows = [[f"w{x}" for x in rng.integers(0, 4, n)] for n in range(0, 30)]
+    df = spark.createDataFrame([(r,) for r in rows], "words array<string>")
+    for k in (1, 2, 3, 5, 6, 7, 8):
+        got = df.select("words", licenses.rolling("words", k).alias("h")).collect()
+        seen = {}
+        for r in got:
+            spans = [tuple(r["words"][i : i + k]) for i in range(len(r["words"]) - k + 1)]
+            assert len(r["h"]) == len(spans)
+            assert all(seen.setdefault(s, h) == h for s, h in zip(spans, r["h"], strict=True))
+        assert len(set(seen.values())) == len(seen)
+    own = spark.createDataFrame([("own", "Some text: of seven words, all here!"), ("short", "two words"), (None, "x"), ("none", None)], "label string, text string")
+    docs = spark.createDataFrame([(1, "see some TEXT of seven words all here and more, two words"), (2, "mit license")], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs, templates=own).collect()}
+    assert got == {1: "own", 2: "mit"}
+
+
 def test_licenses_with_inserted_words(spark):
     """All words of a template are there, with other words between; two broken copies are two spans."""
-    names = {f"{label}-{i}": t.split() for label, texts in licenses.TEMPLATES.items() for i, t in enumerate(texts)}
+    table = licenses.template_table(spark, licenses.TEMPLATES)
+    names = {r["template"]: r["words"] for r in table.select(licenses.words_of(F.col("text")).alias("words"), "label").withColumn("template", F.concat_ws("-", "label", F.hex(F.xxhash64("words")))).collect()}
     rows, gap = [], [f"gap{i}" for i in range(12)]
     for n, (name, t) in enumerate(names.items()):
         half = len(t) // 2
