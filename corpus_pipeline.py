@@ -1,11 +1,14 @@
-"""A corpus pipeline of five of the operators. run() applies STAGES to documents; each stage works on what the last one kept."""
+"""A corpus pipeline of five of the operators. run() applies STAGES to documents; each stage works on what the last one kept.
+
+The quality and language models are fitted on the documents that they then judge: all labels and languages of a stage's input
+are used, as here nothing is held out. Held-out figures are those of the queries op2 and op3."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, remove
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.lang_id import fit_languages, language_udf
 from millrace.llm.mixing import mix_sources
@@ -30,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: letters, and known trigrams of the language found, a fifth at least of what is usual
-    in its training text. The limit goes with the filter, which lacks rare trigrams once the table is large."""
+    in its training text. The limit goes with the filter, which lacks the rarest trigrams once the table is very large."""
     model = fit_languages(docs)
     usual = F.create_map(*[F.lit(x) for item in model.usual.items() for x in item]) if model.usual else F.lit(None).cast("map<string,double>")
     least = lambda v: LEAST_LANGUAGE_SHARE * F.coalesce(usual[v["lang_pred"]], F.lit(1.0))
@@ -75,7 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        remove(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
