@@ -49,10 +49,15 @@ def recall(pred: Column, gold: Column) -> Column:
     return F.when(n_distinct(gold) == 0, 0.0).otherwise(shared(pred, gold) / n_distinct(gold))
 
 
-def f1_without(pred: Column, gold: Column, prefixes: Column) -> Column:
-    """F1 without the words of prefixes. A gold name of prefixes only keeps them; a predicted one becomes empty."""
+def without_prefixes(pred: Column, gold: Column, prefixes: Column) -> tuple[Column, Column]:
+    """Predicted and gold words without prefixes. A gold name of prefixes only keeps them; a predicted one becomes empty."""
     g = F.array_except(gold, prefixes)
-    return f1(F.array_except(pred, prefixes), F.when(F.size(g) == 0, gold).otherwise(g))
+    return F.array_except(pred, prefixes), F.when(F.size(g) == 0, gold).otherwise(g)
+
+
+def f1_without(pred: Column, gold: Column, prefixes: Column) -> Column:
+    """F1 without the words of prefixes; see without_prefixes()."""
+    return f1(*without_prefixes(pred, gold, prefixes))
 
 
 def narrow_f1(pred: Column, gold: Column, groups: tuple[tuple[str, ...], ...] = NARROW) -> Column:

@@ -55,17 +55,21 @@ def normal_asm(text: Column) -> Column:
     return F.sha1(F.regexp_replace(text, r"\b(sub|dat|ext)_[0-9a-f]{4,}\b", "$1"))
 
 
+#: Generated labels and what stands for each kind (fixed values).
+LABELS = ((r"sub_[0-9a-fA-F]+", "sub_"), (r"(?:dat|DAT)_[0-9a-fA-F]+", "dat_"), (r"(?:FUN|LAB|PTR_DAT|PTR_FUN|PTR_LOOP|thunk_FUN)_[0-9a-fA-F]+", "ghidra_"))
+
+
 def normalise(text: Column) -> Column:
-    """Generated labels reduced to their kind, white space collapsed."""
-    out = F.regexp_replace(text, r"\bsub_[0-9a-fA-F]+\b", "sub_")
-    out = F.regexp_replace(out, r"\b(?:dat|DAT)_[0-9a-fA-F]+\b", "dat_")
-    out = F.regexp_replace(out, r"\b(?:FUN|LAB|PTR|switchD|caseD|code|joined|UNK)_[0-9A-Za-z_]+\b", "label_")
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    """Generated labels reduced to their kind, runs of Unicode white space to one space, none at the ends."""
+    out = text
+    for label, kind in LABELS:
+        out = F.regexp_replace(out, rf"(?U)\b{label}\b", kind)
+    return F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def text_hash(text: Column) -> Column:
-    """SHA-256 of the normalised text; null for blank ones."""
-    return F.when(normalise(text) != "", F.sha2(normalise(text), 256))
+    """SHA-256 of the normalised text; null for blank ones. The text is normalised once, in whatever filters the hash is used."""
+    return F.get(F.transform(F.array(normalise(text)), lambda t: F.when(t != "", F.sha2(t, 256))), F.lit(0))
 
 
 def has_identifier(text: Column, name: Column, any_case: bool = False) -> Column:
@@ -98,10 +102,35 @@ def inner_calls(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, most)
 
 
-def numeric_literals(text: Column) -> Column:
-    """Literals outside quotes and comments."""
-    bare = F.regexp_replace(F.regexp_replace(text, QUOTED, '""'), r"(?s)/\*.*?\*/|//[^\n]*|;[^\n]*", " ")
-    return F.regexp_extract_all(bare, F.lit(r"(?<![\w.])(0x[0-9a-fA-F]+|[0-9]+)(?![\w.])"), F.lit(1))
+#: What holds no constants: strings, character constants and comments.
+NO_CODE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|/\*.*?\*/|//[^\n]*+"
+NUMBER = r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|[0-9]+)(?:[uU](?:[lL]{1,2})?|[lL]{1,2}[uU]?)?(?![\w.])"
+
+
+def blanked(text: Column, pattern: str) -> Column:
+    """text with spaces for all but the line ends of what matches the pattern."""
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){pattern}|."), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 1, F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+
+
+def numeric_literals(text: Column, assembly: bool = True) -> Column:
+    """array of struct(literal, line): numbers with sign, prefix and suffix as written, outside strings and comments, and their
+    lines from 1. In assembly what follows a semicolon, and what stands in square brackets, holds none."""
+
+    def of_line(line: Column, i: Column) -> Column:
+        code = F.regexp_replace(F.regexp_replace(line, ";.*", ""), r"\[[^\]]*\]", " ") if assembly else line
+        return F.transform(F.regexp_extract_all(code, F.lit(NUMBER), F.lit(0)), lambda n: F.struct(n.alias("literal"), (i + 1).cast("int").alias("line")))
+
+    return F.flatten(F.transform(lines(blanked(text, NO_CODE)), of_line))
+
+
+def literal_bits(literal: Column) -> Column:
+    """The 64 bits of a literal as 16 hex digits, negative ones as two's complement; null where it has more (decimal: 20 digits on)."""
+    body = F.regexp_replace(F.regexp_extract(literal, r"^[-+]?(?:0[xX])?0*([0-9a-fA-F]*)", 1), "^$", "0")
+    signed = F.concat(F.when(F.startswith(literal, F.lit("-")), "-").otherwise(""), body)
+    hexed = F.contains(F.lower(literal), F.lit("x"))
+    bits = F.when(hexed & (F.length(body) <= 16), F.conv(signed, 16, 16)).when(~hexed & (F.length(body) <= 19), F.conv(signed, 10, 16))
+    return F.lower(F.lpad(bits, 16, "0"))
 
 
 def last_flat_object(text: Column) -> Column:
@@ -109,12 +138,25 @@ def last_flat_object(text: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0)), F.lit(-1))
 
 
-def parse_answer(text: Column, field: str = "name") -> Column:
-    """struct(name, valid_json): a decodable object's string field, else the field by pattern, else the first identifier."""
-    js = F.get_json_object(F.coalesce(last_flat_object(text), text), f"$.{field}")
-    by_field = F.nullif(F.regexp_extract(text, rf'"{field}"\s*:\s*"([^"]*)"', 1), F.lit(""))
-    first = F.nullif(F.regexp_extract(text, r"([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
-    return F.struct(F.coalesce(js, by_field, first).alias("name"), js.isNotNull().alias("valid_json"))
+def parse_answer(text: Column, field: str = "name", others: tuple[str, ...] = ()) -> Column:
+    """struct(name, others..., valid_json) of an answer that may hold other text, or be cut.
+
+    The first object that can be decoded and has a string in the field gives all; what stands after it plays no part, an object
+    inside one counts if the outer one does not. Else (not valid) the fields are taken by pattern, whole strings only; else the name
+    is the first identifier. An object that names a key twice cannot be decoded. Other fields that are absent are empty."""
+    suffixes = F.regexp_extract_all(text, F.lit(r"(?s)(?=(\{.*))"), F.lit(1))
+    kind = lambda v: F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+    good = F.get(F.filter(F.transform(suffixes, F.try_parse_json), lambda v: kind(v) == "STRING"), F.lit(0))
+    string = lambda v, f: F.try_variant_get(v, f"$.{f}", "string")
+    # A string found by pattern is decoded as the only value of an object.
+    found = lambda f: F.regexp_extract(text, rf'"{f}"\s*:\s*("(?:\\.|[^"\\])*")', 1)
+    by_field = lambda f: F.coalesce(string(F.try_parse_json(F.concat(F.lit('{"x":'), found(f), F.lit("}"))), "x"), F.lit(""))
+    first = F.regexp_extract(text, r"([A-Za-z_][A-Za-z0-9_]*)", 1)
+    name = F.when(by_field(field) != "", by_field(field)).otherwise(first)
+    rest = lambda f: F.when(by_field(field) != "", by_field(f)).otherwise("")
+    whole = lambda v: F.struct(string(v, field).alias("name"), *[F.coalesce(string(v, f), F.lit("")).alias(f) for f in others], F.lit(True).alias("valid_json"))
+    part = F.struct(name.alias("name"), *[rest(f).alias(f) for f in others], F.lit(False).alias("valid_json"))
+    return F.get(F.transform(F.array(good), lambda v: F.when(v.isNotNull(), whole(v)).otherwise(part)), F.lit(0))
 
 
 def clean_identifier(text: Column, most: int = 80) -> Column:

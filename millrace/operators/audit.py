@@ -110,3 +110,25 @@ def deep_context(functions: DataFrame, key: list[str], node: str, calls: str, n:
     out = rows.groupBy(*key, node).agg(F.split(text, "\n").alias("_lines"))
     cut = F.concat(F.slice("_lines", 1, most_lines - 1), F.array(F.lit("; ... cut")))
     return out.select(*key, node, F.array_join(F.when(F.size("_lines") > most_lines, cut).otherwise(F.col("_lines")), "\n").alias("context"))
+
+
+def token_costs(df: DataFrame, groups: list, tokens: str, text: str, price: float) -> DataFrame:
+    """Per group: n, tokens as recorded, tokens as estimated from the text, and what the recorded ones cost."""
+    from millrace.functions.text import token_estimate
+
+    total = F.sum(F.coalesce(tokens, F.lit(0))).cast("long")
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), total.alias("tokens"), F.sum(token_estimate(F.col(text))).alias("estimated"), (total * price).alias("cost"))
+
+
+def project_status(per_option: DataFrame, project: str) -> DataFrame:
+    """From a row (project, opt, n_rows, seconds, n_failed) for each option: sums, maxima, and done, partly or failed."""
+    status = F.when(F.col("n_failed") == 0, "done").when(F.col("n_failed") < F.col("n_rows"), "partly").otherwise("failed")
+    sums = per_option.groupBy(project).agg(F.count_distinct("opt").alias("n_opts"), F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("most_rows"), F.max("seconds").alias("seconds"), F.sum("n_failed").alias("n_failed"))
+    return sums.withColumn("status", status)
+
+
+def hit_groups(df: DataFrame, hits: str, score: str) -> DataFrame:
+    """(grp, n, mean): a row counts in all, in hits or others, and in signature:x for each of its hits."""
+    own = F.array(F.lit("all"), F.when(F.size(hits) > 0, "hits").otherwise("others"))
+    labels = F.concat(own, F.transform(F.array_distinct(hits), lambda h: F.concat(F.lit("signature:"), h)))
+    return df.select(F.explode(labels).alias("grp"), score).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))

@@ -99,3 +99,38 @@ def version_diff(old: DataFrame, new: DataFrame, keys: list, value: str) -> Data
 def resume(rows: DataFrame, done: DataFrame, key: str, healthy: Column) -> DataFrame:
     """Rows that have no healthy result yet."""
     return rows.join(done.filter(healthy).select(key), key, "left_anti")
+
+
+def label_merge(texts: DataFrame, details: DataFrame, key: str, fields: list[str], unknown: str) -> DataFrame:
+    """Details that have a text: key, project (the key up to its first slash), text, fields (null is empty), model (that of the
+    details, else of the text, else `unknown`; empty counts as missing)."""
+    t = texts.select(key, F.coalesce("text", F.lit("")).alias("text"), F.nullif("model", F.lit("")).alias("_m"))
+    out = details.join(t, key)
+    model = F.coalesce(F.nullif(F.col("model"), F.lit("")), F.col("_m"), F.lit(unknown))
+    return out.select(key, F.substring_index(key, "/", 1).alias("project"), "text", *[F.coalesce(f, F.lit("")).alias(f) for f in fields], model.alias("model"))
+
+
+def for_judging(references: DataFrame, sources: DataFrame, predictions: DataFrame, id_: str, key: str, strict: bool) -> DataFrame:
+    """Predictions with their reference (by id) and source (by key). strict: a missing one fails the query; else the row is left out."""
+    if strict:
+        return checked_join(checked_join(predictions, references, id_), sources, key)
+    return predictions.join(references, id_).join(sources, key)
+
+
+def refresh(rows: DataFrame, news: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows with the columns of news; each key of either side must be on the other."""
+    both = aligned(rows.drop(*columns), news.select(key, *columns), key)
+    return both.select(*rows.columns)
+
+
+def is_subset(small: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """One row: n (distinct keys of small), n_missing (of these not in large), holds."""
+    keys = small.select(key).distinct().join(large.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")
+    return keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_in").isNull()).alias("n_missing")).withColumn("holds", F.col("n_missing") == 0)
+
+
+def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: n_both, n_left, n_right (keys of one side only), same."""
+    both = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full")
+    out = both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"), F.count_if(F.col("_b").isNull()).alias("n_left"), F.count_if(F.col("_a").isNull()).alias("n_right"))
+    return out.withColumn("same", (F.col("n_left") == 0) & (F.col("n_right") == 0))

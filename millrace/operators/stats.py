@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import cut
+
+
+def order_statistics(df: DataFrame, group: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(group, n, names...): values at given ranks (from 1, as functions of the number n of values) of each group's sorted values.
+
+    Nulls do not count. Equal values are counted first; the counts are dealt by ranges of the value and a prefix sum over the
+    ranges places them, so no task sorts a whole group, whatever its size or its most frequent value."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(counts.repartitionByRange(parts, value, group).withColumn("_p", F.spark_partition_id()), "ranks")
+    sums = dealt.groupBy(group, "_p").agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(group)
+    sums = sums.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), (F.sum("_s").over(w.orderBy("_p")) - F.col("_s")).alias("_before"), F.sum("_s").over(w).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("k"), rank(F.col("n")).cast("long").alias("r")) for name, rank in ranks.items()])
+    placed = dealt.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    high = F.col("_before") + F.sum("_c").over(Window.partitionBy(group, "_p").orderBy(value))
+    hits = placed.withColumn("_hi", high).select(group, "n", value, F.explode(F.filter(wanted, lambda x: (x["r"] > F.col("_hi") - F.col("_c")) & (x["r"] <= F.col("_hi")))).alias("x"))
+    return hits.groupBy(group, "n").agg(*[F.max(F.when(F.col("x.k") == name, F.col(value))).alias(name) for name in ranks])
+
+
+def nearest_rank(p: int) -> Callable[[Column], Column]:
+    """Rank ceil(n p / 100)."""
+    return lambda n: F.greatest(F.ceil(n * p / 100), F.lit(1))
+
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The value at rank ceil(n p) of the sorted values."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+def floor_rank(q: float) -> Callable[[Column], Column]:
+    """The place int(n q), from 0, at most the last."""
+    return lambda n: F.least(n, F.floor(n * q) + 1)
 
 
-def floor_rank(value: Column, q: float) -> Column:
-    """sorted[min(n - 1, int(n q))] of a bounded group."""
-    xs = F.sort_array(F.collect_list(value))
-    return F.element_at(xs, F.least(F.count(value), F.floor(F.count(value) * q) + 1).cast("int"))
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, median): the mean of the two middle values."""
+    two = order_statistics(df, group, value, {"_a": lambda n: F.floor((n + 1) / 2), "_b": lambda n: F.floor(n / 2) + 1})
+    return two.select(group, "n", ((F.col("_a") + F.col("_b")) / 2).alias("median"))
 
 
 def mode_first_seen(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:

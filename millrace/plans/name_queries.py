@@ -53,9 +53,8 @@ SELECT id, CAST(len(g1) AS BIGINT) AS n_gold, CAST(len(list_distinct(p1)) AS BIG
 def name_f1_prefix_stripped(spark, sf_dir):
     rows = pairs(spark, sf_dir)
     words = prepare.first_word_prefixes(rows, "project", "g").groupBy("project").agg(F.collect_list("prefix").alias("ws"))
-    rows = rows.join(F.broadcast(words), "project", "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
-    g = F.when(F.size(F.array_except("g", "ws")) == 0, F.col("g")).otherwise(F.array_except("g", "ws"))
-    p = F.array_except("p", "ws")
+    rows = rows.join(words, "project", "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
+    p, g = N.without_prefixes(F.col("p"), F.col("g"), F.col("ws"))
     return rows.select("id", N.n_distinct(g).alias("n_gold"), N.n_distinct(p).alias("n_pred"), N.shared(p, g).alias("n_shared"))
 
 
@@ -155,9 +154,9 @@ def cluster_bootstrap(spark, sf_dir):
     return _boot(rows.groupBy(F.col("project").alias("unit")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("weight")))
 
 
-@query(f"WITH {PAIRS}, un AS (SELECT id AS unit, c AS total, 1 AS weight FROM f WHERE grp = 'PROMO')" + _DRAWS)
+@query(f"WITH {PAIRS}, un AS (SELECT id AS unit, c AS total, 1 AS weight FROM f)" + _DRAWS)
 def row_bootstrap(spark, sf_dir):
-    rows = pairs(spark, sf_dir).filter("grp = 'PROMO'")
+    rows = pairs(spark, sf_dir)
     return _boot(rows.select(F.col("id").alias("unit"), N.shared(F.col("p"), F.col("g")).alias("total"), F.lit(1).alias("weight")))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import seeded
+from millrace.functions.text import hash_share, seeded
 from millrace.operators import dedupe, graph, joins, prepare, report, select, stats
 from millrace.plans.registry import query, table
 
@@ -39,14 +39,20 @@ def judge_two_denominators(spark, sf_dir):
 @query("""SELECT l_returnflag AS grp, count(*) AS n, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.9) AS p90, quantile_disc(l_extendedprice, 0.99) AS p99, max(l_extendedprice) AS most FROM lineitem GROUP BY 1""")
 def nearest_rank_percentiles(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_extendedprice")
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[stats.nearest_rank("l_extendedprice", p).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.99)], F.max("l_extendedprice").alias("most"))
+    return stats.order_statistics(rows, "grp", "l_extendedprice", {f"p{p}": stats.nearest_rank(p) for p in (50, 90, 99)} | {"most": lambda n: n})
 
 
 @query("""WITH x AS (SELECT event_type AS grp, list_sort(list(value)) AS xs, count(value) AS n FROM events GROUP BY 1)
 SELECT grp, n, xs[CAST(least(n, floor(n * 0.025) + 1) AS INTEGER)] AS low, xs[CAST(least(n, floor(n * 0.975) + 1) AS INTEGER)] AS high FROM x""")
 def floor_rank_quantile(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy(F.col("event_type").alias("grp")).agg(F.count("value").alias("n"), stats.floor_rank(F.col("value"), 0.025).alias("low"), stats.floor_rank(F.col("value"), 0.975).alias("high"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("grp"), "value")
+    return stats.order_statistics(rows, "grp", "value", {"low": stats.floor_rank(0.025), "high": stats.floor_rank(0.975)})
+
+
+@query("SELECT o_orderpriority AS grp, count(o_totalprice) AS n, round(median(o_totalprice), 6) AS median FROM orders GROUP BY 1")
+def medians_by_group(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), "o_totalprice")
+    return stats.medians(rows, "grp", "o_totalprice").withColumn("median", F.round("median", 6))
 
 
 @query("""WITH c AS (SELECT o_custkey AS k, o_orderpriority AS v, count(*) AS n, min(o_orderkey) AS s FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, s) AS i FROM c) SELECT k, v, n FROM r WHERE i = 1""")
@@ -55,11 +61,11 @@ def mode_first_seen(spark, sf_dir):
     return stats.mode_first_seen(rows, "k", "v", "o_orderkey")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY sha256('9' || chr(0) || CAST(o_orderkey AS VARCHAR))) AS pos FROM orders WHERE o_orderkey % 40 = 0)
+@query("""WITH i AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY sha256('9' || chr(0) || CAST(o_orderkey AS VARCHAR))) AS pos FROM orders)
 SELECT i.pos, i.id, o.o_orderstatus AS status FROM i JOIN orders o ON o.o_orderkey = i.id""")
 def ordered_lookup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    ids = orders.filter("id % 40 = 0").select("id", seeded("9", F.col("id")).alias("k"))
+    ids = orders.select("id", seeded("9", F.col("id")).alias("k"))
     ids = select.length_buckets(ids, F.col("k"), F.lit(0), 1 << 30).select("id", F.col("position").cast("long").alias("pos"))
     return joins.ordered_lookup(ids, orders, "id", "pos").select("pos", "id", "status")
 
@@ -119,8 +125,7 @@ def length_bucket_order(spark, sf_dir):
 
 @query("""SELECT CASE WHEN CAST(('0x' || substr(sha1(c_name), 1, 8)) AS BIGINT) / 4294967296.0 < 0.08 THEN 'valid' ELSE 'train' END AS role, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS id_sum FROM customer GROUP BY 1""")
 def hash_split(spark, sf_dir):
-    share = F.conv(F.substring(F.sha1("c_name"), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return table(spark, sf_dir, "customer").groupBy(F.when(share < 0.08, "valid").otherwise("train").alias("role")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("id_sum"))
+    return table(spark, sf_dir, "customer").groupBy(F.when(hash_share(F.col("c_name")) < 0.08, "valid").otherwise("train").alias("role")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("id_sum"))
 
 
 def _nodes(spark, sf_dir):

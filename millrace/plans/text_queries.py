@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import constants
 from millrace.functions import text as T
 from millrace.operators import dedupe, joins, prepare, select
 from millrace.plans.registry import query, table
@@ -24,10 +25,23 @@ def split_merge_reasons(spark, sf_dir):
     return dedupe.merge_reasons(rows, "role", "h", ["source", "nm"], "doc_id", "test", "train").select("doc_id", "role", "reason")
 
 
-@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\bsub_[0-9a-fA-F]+\b', 'sub_', 'g'), '\b(dat|DAT)_[0-9a-fA-F]+\b', 'dat_', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
-SELECT sha256(t) AS h, count(*) AS n_rows, min(doc_id) AS first_id FROM n WHERE t <> '' GROUP BY 1 HAVING count(*) > 1""")
+_LABELS = ("sub_00a1", "dat_42", "DAT_0F", "FUN_00401a30", "LAB_1", "PTR_DAT_0a", "PTR_FUN_0b", "PTR_LOOP_0c", "thunk_FUN_11", "FUN_main", "code_review", "joined_up", "xsub_1", "sub_zz")
+_KINDS = ("sub_", "dat_", "dat_", *["ghidra_"] * 6, *_LABELS[9:])
+
+
+def _case(values, key="doc_id"):
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def _pick(values, key):
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+
+@query(rf"""WITH n AS (SELECT doc_id, {_case(_KINDS)} || ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT sha256(trim(t)) AS h, count(*) AS n_rows, min(doc_id) AS first_id FROM n GROUP BY 1 HAVING count(*) > 1""")
 def near_dup_normalised(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.text_hash(F.col("text")).alias("h")).filter("h is not null")
+    labelled = F.concat(_pick(_LABELS, F.col("doc_id")), F.lit(" \n"), F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.text_hash(labelled).alias("h")).filter("h is not null")
     return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_id")).filter("n_rows > 1")
 
 
@@ -84,35 +98,54 @@ def budget_prefix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.budget_prefix(F.col("text"), 600).alias("head"))
 
 
-@query(r"""WITH l AS (SELECT item_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM (SELECT doc_id AS item_id, regexp_replace(text, '[^0-9A-Za-z_.]', ' ', 'g') AS text FROM documents) q)
-SELECT count(*) > 0 AS has_digits FROM l""")
-def has_digits(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg((F.max(F.length(F.regexp_extract("text", "[0-9]+", 0))) > 0).alias("has_digits"))
+@query("""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS part, CAST(l_quantity AS BIGINT) AS q, l_partkey AS p FROM lineitem),
+r AS (SELECT id, part, unnest([CAST(q AS VARCHAR), '0X' || to_hex(p) || 'uL', '-' || CAST(p AS VARCHAR), CAST(q AS VARCHAR) || 'll']) AS literal, unnest([1, 2, 4, 6]) AS line FROM l)
+SELECT literal, line, count(*) AS n, count(DISTINCT id) AS n_ids FROM r GROUP BY ALL""")
+def numeric_literals(spark, sf_dir):
+    """Numbers that count, among those in strings, comments, brackets, names and after semicolons that do not."""
+    q, p = F.col("l_quantity").cast("long").cast("string"), F.col("l_partkey")
+    text = F.concat(F.lit("mov [rax+16], "), q, F.lit(" ; 99\n/* 5 */ cmp 0X"), F.hex(p), F.lit('uL, x12\n"7 \\" 8" // 3\nadd r8, -'), p.cast("string"), F.lit(", 1.5\n/* 1\n2 */ push '4' "), q, F.lit("ll"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.inline(T.numeric_literals(text)))
+    return rows.groupBy("literal", "line").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
-@query()
-def numeric_literals(spark, sf_dir):
-    """(literal, n) over all documents: tested against a scan by hand, since the pattern needs look-behind."""
-    rows = table(spark, sf_dir, "documents").select(F.explode(T.numeric_literals(F.col("text"))).alias("literal"))
-    return rows.groupBy("literal").agg(F.count(F.lit(1)).alias("n"))
+_SHA256 = [f"{v:#x}" for v in constants.signatures()[4][3]]
+_KEYS = "[" + ", ".join(f"'{v}'" for v in _SHA256) + "]"
 
 
-@query(r"""WITH s AS (SELECT 'a' AS signature, 3 AS least, unnest([1, 2, 3, 4, 5]) AS v UNION ALL SELECT 'b', 2, unnest([10, 20, 30]) UNION ALL SELECT 'c', 4, unnest([7, 14, 21, 28])),
-c AS (SELECT DISTINCT l_orderkey AS id, CAST(l_quantity AS INTEGER) AS v FROM lineitem), m AS (SELECT id, signature, least, count(*) AS n_constants FROM c JOIN s USING (v) GROUP BY ALL) SELECT id, signature, n_constants FROM m WHERE n_constants >= least""".replace("AS least", 'AS "least"').replace(", least,", ', "least",').replace(">= least", '>= "least"'))
+@query(f"""WITH o AS (SELECT l_orderkey AS id, list(DISTINCT (l_partkey % 8) + 1) AS ks, max(l_linenumber) AS lines FROM lineitem GROUP BY 1), s AS (SELECT id, CAST(len(ks) AS BIGINT) AS n FROM o)
+SELECT id, 'asm' AS source, 'sha256_round_k' AS signature, n AS n_constants FROM s WHERE n >= 4 UNION ALL SELECT id, 'code', 'adler32_modulus', 1 FROM o WHERE lines % 2 = 0 UNION ALL SELECT id, 'code', 'sha1_round_k', 2 FROM o WHERE lines % 3 = 0
+UNION ALL SELECT id, 'asm', 'aes_sbox_prefix', 8 FROM o WHERE lines % 5 = 0""")
 def constant_signatures(spark, sf_dir):
-    table_of = [("a", 3, [1, 2, 3, 4, 5]), ("b", 2, [10, 20, 30]), ("c", 4, [7, 14, 21, 28])]
-    signatures = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("signature"), F.lit(k).alias("least"), F.array(*map(F.lit, v)).alias("vs")) for n, k, v in table_of])).alias("s")).select("s.signature", "s.least", F.explode("s.vs").alias("v"))
-    constants = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("int").alias("v")).distinct()
-    hits = constants.join(F.broadcast(signatures), "v").groupBy("id", "signature", "least").agg(F.count(F.lit(1)).alias("n_constants"))
-    return hits.filter("n_constants >= least").drop("least")
+    """Round constants in assembly (some as sign-extended words), a packed word and a modulus in code, S-box bytes in a word."""
+    key = F.element_at(F.array(*map(F.lit, _SHA256)), (F.col("l_partkey") % 8 + 1).cast("int"))
+    wide = F.when(key.substr(3, 1) >= "8", F.concat(F.lit("0xffffffff"), F.substring(F.concat(F.lit("0"), key), -8, 8))).otherwise(key)
+    line = F.concat(F.lit("mov eax, "), F.when(F.col("l_linenumber") % 2 == 0, wide).otherwise(key))
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(line).alias("ls"), F.max("l_linenumber").alias("lines"))
+    box = F.when(F.col("lines") % 5 == 0, "\nmov rax, 0xc56f6bf27b777c63").otherwise("")
+    code = F.concat(F.when(F.col("lines") % 2 == 0, "x % 65521;").otherwise("\"65521\";"), F.when(F.col("lines") % 3 == 0, " y = 0x5a8279996ed9eba1;").otherwise(""))
+    rows = per.select("id", F.concat(F.array_join("ls", "\n"), box).alias("a"), code.alias("c"))
+    return constants.constant_hints(rows, "id", {"asm": ("a", True), "code": ("c", False)}).select("id", "source", "signature", "n_constants")
+
+
+@query(f"""SELECT l_orderkey AS id, '{constants.HEAD}' || chr(10) || 'adler32_modulus | source=code | evidence=0xfff1 | strength=weak_single_constant' || CASE WHEN max(l_linenumber) % 2 = 0 THEN chr(10) || 'sha1_round_k | source=code | evidence=0x5a827999,0xca62c1d6 | strength=multi_constant' ELSE '' END AS block FROM lineitem GROUP BY 1""")
+def hint_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.when(F.max("l_linenumber") % 2 == 0, "0x5A827999 0xca62c1d6U 0x5a827999 65521").otherwise("0xfff1").alias("c"))
+    return constants.hint_block(constants.constant_hints(rows, "id", {"code": ("c", False)}), "id")
+
 
+_ANSWERS = (
+    ('{"name":"a#"} {"name":"b"}', "a#", True), ('{"name":"read#","x":{"y":1}}', "read#", True), ('{"name": 7} see it#', "name", False), ('{"name": 7} {"name":"late#"}', "late#", True),
+    ('say {"x": {"name": "in#"}} end', "in#", True), ('cut {"name": "q#", "text": "a', "q#", False), ("plain# words", "plain#", False), ("{bad} {\"name\":\"ok#\"", "ok#", False),
+    ('```json\n{"name": "f#"}\n```', "f#", True), ("12 - !", "", False), ('{"name":["x"]} then', "name", False),
+)
 
-@query(r"""WITH a AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'answer: ' || props WHEN event_id % 3 = 1 THEN 'see "k": "v' || CAST(event_id AS VARCHAR) || '"' ELSE event_type || ' next' END AS t, props, event_type FROM events)
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN regexp_extract(props, ': *([0-9]+)', 1) WHEN event_id % 3 = 1 THEN 'v' || CAST(event_id AS VARCHAR) ELSE regexp_extract(t, '([A-Za-z_][A-Za-z0-9_]*)', 1) END AS name, event_id % 3 = 0 AS valid_json FROM a""")
+
+@query("""SELECT event_id, replace(""" + _case([n for _, n, _ in _ANSWERS], "event_id") + """, '#', CAST(event_id AS VARCHAR)) AS name, """ + _case([str(v).lower() for _, _, v in _ANSWERS], "event_id") + """ = 'true' AS valid_json FROM events""")
 def json_answer_parse(spark, sf_dir):
-    k = F.col("event_id") % 3
-    t = F.when(k == 0, F.concat(F.lit("answer: "), "props")).when(k == 1, F.concat(F.lit('see "k": "v'), F.col("event_id").cast("string"), F.lit('"'))).otherwise(F.concat("event_type", F.lit(" next")))
-    return table(spark, sf_dir, "events").select("event_id", T.parse_answer(t, "k").alias("a")).select("event_id", "a.name", "a.valid_json")
+    """Several objects, nested ones, numbers for names, cut and plain answers; # is the row's number."""
+    text = F.replace(_pick([t for t, _, _ in _ANSWERS], F.col("event_id")), F.lit("#"), F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", T.parse_answer(text).alias("a")).select("event_id", "a.name", "a.valid_json")
 
 
 @query("SELECT doc_id, CAST(floor((length(text) + 3) / 4) AS BIGINT) AS n_tokens FROM documents")
@@ -144,11 +177,6 @@ def budget_cut(spark, sf_dir):
     return d.select("doc_id", out.alias("o")).select("doc_id", "o.cut")
 
 
-@query("SELECT text AS item, count(DISTINCT conv_id) AS n_values, count(*) AS n_rows FROM conversations GROUP BY text HAVING count(DISTINCT conv_id) > 1")
-def conflicting_values(spark, sf_dir):
-    return dedupe.multi_valued(table(spark, sf_dir, "conversations").select(F.col("text").alias("item"), "conv_id"), "item", "conv_id")
-
-
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)")
 def checked_join(spark, sf_dir):
     return joins.checked_join(table(spark, sf_dir, "labels").select("doc_id", "quality"), table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "quality")

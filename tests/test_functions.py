@@ -39,7 +39,7 @@ def test_text(spark):
     assert one(spark, T.line_cap(F.lit("a\nb\nc"), 2)) == "a\nb\n; ... cut"
     assert one(spark, T.line_cap(F.lit("a\nb"), 2)) == "a\nb"
     assert one(spark, T.budget_prefix(F.lit("aa\nbb\ncc"), 6)) == "aa\nbb"
-    assert one(spark, T.numeric_literals(F.lit('mov 0x10, 7 ; 99\n"5" x3 12'))) == ["0x10", "7", "12"]
+    assert [tuple(n) for n in one(spark, T.numeric_literals(F.lit('mov 0x10, 7 ; 99\n"5" x3 12')))] == [("0x10", 1), ("7", 1), ("12", 2)]
     assert one(spark, T.direct_calls(F.lit("  call sub_00a1\nnop\njmp\tsub_2 ; x\nxcall sub_3"))) == ["sub_00a1", "sub_2"]
     got = one(spark, T.parse_answer(F.lit('```json\n{"name": "read_file"}\n```')))
     assert (got["name"], got["valid_json"]) == ("read_file", True)
@@ -48,6 +48,30 @@ def test_text(spark):
     assert one(spark, T.shorten(F.lit("\n".join("abcdef")), 2, 1, "..")) == "a\nb\n..\nf"
 
 
+@pytest.mark.parametrize(("text", "name", "valid"), [('{"name":"a"} {"name":"b"}', "a", True), ('{"name":"read_file","x":{"y":1}}', "read_file", True), ('{"name": 7}', "name", False), ('x {"name": "a\\"b", "z', 'a"b', False), ("", "", False), ('{"name":"a","name":"b"} x', "a", False)])
+def test_answers(spark, text, name, valid):
+    got = one(spark, T.parse_answer(F.lit(text)))
+    assert (got["name"], got["valid_json"]) == (name, valid)
+
+
+@pytest.mark.parametrize(("text", "want"), [("call  sub_00a1\n  mov eax, dat_0042  FUN_00401a30", "call sub_ mov eax, dat_ ghidra_"), ("code_review joined_up FUN_main", "code_review joined_up FUN_main"), ("thunk_FUN_0011", "ghidra_"), ("\u00a0 a\u2003b\x1c ", "a b")])
+def test_normalise(spark, text, want):
+    assert one(spark, T.normalise(F.lit(text))) == want
+    assert one(spark, T.text_hash(F.lit(" \u3000\n"))) is None
+
+
+def test_constants(spark):
+    from millrace.functions import constants
+
+    table = {n: v for n, _, _, v in constants.signatures()}
+    assert table["sha256_round_k"][:2] == [0x428A2F98, 0x71374491] and table["sha256_round_k"][-1] == 0xC67178F2 and table["sha512_or_blake2b_iv"][0] == 0x6A09E667F3BCC908
+    assert table["crc32_ieee_table_values"][:2] == [0x77073096, 0xEE0E612C] and table["md5_round_t"][0] == 0xD76AA478 and table["sha512_round_k_prefix"][7] == 0xAB1C5ED5DA6D8118
+    assert one(spark, F.transform(F.array(*map(F.lit, ("0x10", "-5", "0xFFFFFFFFFFFFFFFFul", "007", "18446744073709551616", "+3"))), T.literal_bits)) == [f"{v:016x}" if v is not None else None for v in (16, 2**64 - 5, 2**64 - 1, 7, None, 3)]
+    rows = [(1, "mov rax, 0x6a09e667f3bcc908", ""), (2, "db 0x63, 0x7c, 0x77, 0x7b, 0xf2, 0x6b, 0x6f, 0xc5", "0x63, 0x7c, 300, 0x77, 0x7b, 0xf2, 0x6b, 0x6f, 0xc5"), (3, None, "0x637c777bf26b6fc5 and -306674912"), (4, "push 0x1edc6f41", '"0x1edc6f41" // 65521')]
+    got = constants.constant_hints(spark.createDataFrame(rows, "id long, a string, c string"), "id", {"asm": ("a", True), "code": ("c", False)}).collect()
+    assert {(r["id"], r["source"], r["signature"]) for r in got} == {(2, "asm", "aes_sbox_prefix"), (3, "code", "aes_sbox_prefix"), (3, "code", "crc32_ieee_polynomial"), (4, "asm", "crc32c_polynomial")}
+
+
 def test_leaf_first():
     edges = [("a", "b"), ("b", "c"), ("d", "e"), ("e", "d"), ("d", "c"), ("f", "f")]
     order = graph.leaf_first(list("abcdefg"), edges)
