@@ -120,16 +120,21 @@ def one_step_transfer(rows: DataFrame, key: str, callee: str, value: str, is_wra
 def propagate(levels: DataFrame, edges: DataFrame, predict, node: str) -> DataFrame:
     """Names flow from callees to callers a level at a time; a component's members commit together.
 
-    predict(rows with `known`: a map of callee to name) returns rows with `name`; there are as many rounds as levels."""
+    predict(rows with `known`: a map of callee to name) returns rows with `name`; there are as many rounds as levels. Each round
+    is written and reads what the callees of its own rows have got, so plans stay as short at the last level as at the first."""
+    levels = cut(levels, "levels")
     top = levels.agg(F.max("level")).first()[0]
-    done = None
-    for level in range(-1 if top is None else 0, (top if top is not None else -1) + 1):
-        now = levels.filter(F.col("level") == level)
-        if done is None:
-            known = now.withColumn("known", F.create_map().cast("map<string,string>"))
-        else:
-            named = edges.join(done.select(F.col(node).alias("dst"), "name"), "dst").groupBy(F.col("src").alias(node)).agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.col("dst").cast("string"), "name")))).alias("known"))
-            known = now.join(named, node, "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
-        made = predict(known)
-        done = made if done is None else done.unionByName(made)
-    return done
+    empty = F.create_map().cast("map<string,string>")
+    if top is None:
+        return predict(levels.withColumn("known", empty))
+    calls = cut(edges.select("src", "dst").join(levels.select(F.col(node).alias("src"), F.col("level").alias("_at")), "src"), "calls")
+    rounds: list[DataFrame] = []
+    for level in range(top + 1):
+        now, known = levels.filter(F.col("level") == level), None
+        if rounds:
+            done = rounds[0].sparkSession.read.schema(rounds[0].schema).parquet(*[r._cut_path for r in rounds])
+            below = calls.filter(F.col("_at") == level).join(done.select(F.col(node).alias("dst"), "name"), "dst")
+            known = below.groupBy(F.col("src").alias(node)).agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.col("dst").cast("string"), "name")))).alias("known"))
+        rows = now.join(known, node, "left").withColumn("known", F.coalesce("known", empty)) if known is not None else now.withColumn("known", empty)
+        rounds.append(cut(predict(rows), "names"))
+    return rounds[0].sparkSession.read.schema(rounds[0].schema).parquet(*[r._cut_path for r in rounds])

@@ -17,21 +17,28 @@ def read_strict(spark: SparkSession, path: str, schema: T.StructType | str, key:
     return violations(rows.withColumn("_n", n), F.col("_n") > 1, "a key occurs twice").drop("_n")
 
 
+def read_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of any number of files; blank lines are skipped, a broken one fails the query."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of one file whose last line may be torn; any other bad line fails the query."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_n")).filter("trim(value) != ''")
+    """Rows of files whose last lines may be torn; any other bad line fails the query.
+
+    A line's place is that of its split in the file and its number in the split, so files of any number and size will do."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), place.alias("_at")).filter("trim(value) != ''")
     parsed = lines.withColumn("row", F.from_json("value", schema)).withColumn("_bad", F.expr("try_parse_json(value) IS NULL"))
-    last = parsed.agg(F.max("_n").alias("_last"))
-    marked = parsed.withColumn("_k", F.lit(1)).join(F.broadcast(last.withColumn("_k", F.lit(1))), "_k")
-    return violations(marked, F.col("_bad") & (F.col("_n") < F.col("_last")), "a line is no JSON").filter("not _bad").select("row.*")
+    last = parsed.groupBy("_file").agg(F.max("_at").alias("_last"))
+    marked = parsed.join(last, "_file")
+    return violations(marked, F.col("_bad") & (F.col("_at") < F.col("_last")), "a line is no JSON").filter("not _bad").select("row.*")
 
 
-def repeated_keys(lines: DataFrame, column: str) -> DataFrame:
-    """Lines whose object names a top-level key twice."""
-    keys = F.json_object_keys(column)
-    bare = F.regexp_replace(column, r'\\.', "")
-    n_keys = F.size(F.filter(F.regexp_extract_all(bare, F.lit(r'"([^"]*)"\s*:'), F.lit(1)), lambda k: F.array_contains(keys, k)))
-    return lines.filter(F.size(F.array_distinct(keys)) < n_keys)
+def read_unique_keys(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files whose objects name no key twice, at any depth: else, or for broken JSON, the query fails."""
+    lines = spark.read.text(path).filter("trim(value) != ''")
+    checked = violations(lines, F.expr("try_parse_json(value) IS NULL"), "a line is no JSON, or names a key twice")
+    return checked.select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
 def read_partitioned(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,7 +70,8 @@ def write_new(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str, staging: str) -> None:
-    """Write to staging, then swap it in with one rename, so that a failed job leaves the old rows."""
+    """Write to staging, move the old rows aside, and rename staging: a failed job leaves the old rows, and if the driver is lost
+    between the two renames they are under path + ".old"."""
     spark = df.sparkSession
     df.write.mode("overwrite").option("ignoreNullFields", False).json(staging)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
