@@ -59,15 +59,20 @@ def call_summary(name: Column, n: Column, asm: Column, unit: str = "instructions
     return let(targets, line)
 
 
-def rewrite_context(text: Column, names: Column) -> Column:
-    """A prompt whose context has sub_x tokens outside strings replaced by the map names; the other parts stay."""
+def renamed(context: Column, names: Column) -> Column:
+    """A context with sub_x tokens outside strings replaced by the map names."""
+    found = F.regexp_extract_all(context, F.lit(rf'(?s){QUOTED}|{ANONYMOUS}|[^"s]++|.'), F.lit(0))
+    return F.array_join(F.transform(found, lambda t: F.when(t.startswith("sub_"), F.coalesce(F.try_element_at(names, t), t)).otherwise(t)), "")
+
 
-    def body(p: Column) -> Column:
-        found = F.regexp_extract_all(p["context"], F.lit(rf'(?s){QUOTED}|{ANONYMOUS}|[^"s]++|.'), F.lit(0))
-        named = F.transform(found, lambda t: F.when(t.startswith("sub_"), F.coalesce(F.try_element_at(names, t), t)).otherwise(t))
-        return F.when(p["context"] == "", text).otherwise(prompt(p["asm"], F.array_join(named, ""), p["decompiled"]))
+def symbols_of(context: Column) -> Column:
+    """Distinct sub_x tokens outside strings."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(context, QUOTED, '""'), F.lit(f"({ANONYMOUS})"), F.lit(1)))
 
-    return let(prompt_parts(text), body)
+
+def rewrite_context(text: Column, names: Column) -> Column:
+    """A prompt whose context is renamed(); the other parts stay."""
+    return let(prompt_parts(text), lambda p: F.when(p["context"] == "", text).otherwise(prompt(p["asm"], renamed(p["context"], names), p["decompiled"])))
 
 
 def name_candidates(context: Column, calls: str = "calls") -> Column:

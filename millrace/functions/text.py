@@ -175,6 +175,32 @@ def clean_description(text: Column, most_words: int = 25) -> Column:
     return F.when(x != "", F.concat(F.upper(F.substring(x, 1, 1)), F.expr("''"), x.substr(F.lit(2), F.length(x)), F.lit(".")))
 
 
+def merge_comment(old: Column, text: Column, tag: str = "[model] ") -> Column:
+    """old with its tagged lines replaced by the lines of text, each tagged; other lines and the kind of line end stay. Without a text
+    old stays; the new lines come last."""
+    was, new = F.coalesce(old, F.lit("")), F.trim(F.coalesce(text, F.lit("")))
+    end = F.when(F.contains(was, F.lit("\r\n")), "\r\n").otherwise("\n")
+    rows = F.regexp_extract_all(was, F.lit(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+$"), F.lit(0))
+    rest = F.array_join(F.filter(rows, lambda x: ~F.startswith(x, F.lit(tag))), "")
+    gap = F.when((rest != "") & ~F.regexp_like(rest, F.lit(r"[\r\n]\z")), end).otherwise("")
+    tagged = F.array_join(F.transform(F.split(new, "\r\n|\n|\r"), lambda x: F.concat(F.lit(tag), x)), "\n")
+    return F.when(new == "", was).otherwise(F.concat(rest, gap, F.replace(tagged, F.lit("\n"), end)))
+
+
+def function_classes(opt: Column, size: Column, is_wrapper: Column, is_leaf: Column, has_string: Column, has_import: Column) -> Column:
+    """All classes of a function: all, opt:x, size:x, and wrapper, leaf, string, import where they hold."""
+    labels = [F.lit("all"), F.concat(F.lit("opt:"), opt), F.concat(F.lit("size:"), size_class(size)), *[F.when(c, F.lit(n)) for n, c in (("wrapper", is_wrapper), ("leaf", is_leaf), ("string", has_string), ("import", has_import))]]
+    return F.array_compact(F.array(*labels))
+
+
+def excluded_path(path: Column, folder: str, file: str | None = None) -> Column:
+    """A folder of the path starts with a dot or matches the first pattern, or its file name the second."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    bad = F.exists(folders, lambda x: F.startswith(x, F.lit(".")) | F.regexp_like(x, F.lit(folder)))
+    return bad | F.regexp_like(F.element_at(parts, -1), F.lit(file)) if file else bad
+
+
 def prompt(asm: Column, context: Column, decompiled: Column) -> Column:
     part = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c)).otherwise("")
     return F.concat(asm, part(CONTEXT, context), part(DECOMPILED, decompiled))

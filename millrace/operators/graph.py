@@ -96,6 +96,21 @@ def components(nodes: DataFrame, edges: DataFrame, scope: str, node: str) -> Dat
     return nodes.select(scope, node).distinct().groupBy(scope).cogroup(pairs.groupBy("_scope")).applyInPandas(run, schema)
 
 
+def graph_stats(nodes: DataFrame, scope: str, node: str, targets: str) -> DataFrame:
+    """One row: n_nodes, n_edges, n_missing (calls of nodes that are not there), n_leaves (no calls), n_sinks (no known callees),
+    n_components, n_recursive. nodes: (scope, node, targets)."""
+    known, missing = call_edges(nodes, [scope], node, targets)
+    own = nodes.select(scope, node, (F.size(F.array_distinct(targets)) > 0).alias("_calls")).groupBy(scope, node).agg(F.max("_calls").alias("_calls"))
+    has = known.select(scope, F.col("src").alias(node)).distinct().withColumn("_has", F.lit(True))
+    one = own.join(has, [scope, node], "left").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(~F.col("_calls")).alias("n_leaves"), F.count_if(F.col("_has").isNull()).alias("n_sinks"))
+    comps = components(nodes, known, scope, node).agg(F.count_distinct(F.struct(scope, "component")).alias("n_components"), F.count_if("recursive").alias("n_recursive"))
+    counts = [t.agg(F.count(F.lit(1)).alias(n)) for t, n in ((known, "n_edges"), (missing, "n_missing"))]
+    out = one.withColumn("_k", F.lit(1))
+    for t in (*counts, comps):
+        out = out.join(t.withColumn("_k", F.lit(1)), "_k")
+    return out.select("n_nodes", "n_edges", "n_missing", "n_leaves", "n_sinks", "n_components", "n_recursive")
+
+
 def on_cycle(edges: DataFrame, rounds: int) -> DataFrame:
     """Nodes on a cycle of a graph in which each node has at most one edge: those still reached by a chain of 2^rounds steps
     from some node lie on cycles. Pointer doubling; rounds = ceil(log2(number of nodes))."""

@@ -47,7 +47,8 @@ def medians(df: DataFrame, group: str, value: str) -> DataFrame:
 def mode_first_seen(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """(key, value, n): each key's most frequent value; ties go to the one seen first."""
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("_s"))
-    return counts.groupBy(key).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("_s"))).alias("m")).select(key, f"m.{value}", "m.n")
+    best = F.min(F.struct((-F.col("n")).alias("less"), "_s", value)).alias("m")
+    return counts.groupBy(key).agg(best).select(key, f"m.{value}", (-F.col("m.less")).alias("n"))
 
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from millrace.plans import code_queries, name_queries, row_queries, rule_queries, source_queries, text_queries  # noqa: E402, F401
+from millrace.plans import code_queries, evaluation_queries, name_queries, row_queries, rule_queries, source_queries, text_queries  # noqa: E402, F401
