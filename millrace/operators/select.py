@@ -44,7 +44,7 @@ def stratified(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     quota = largest_remainder(sizes, group, "_c", n)
     w = Window.partitionBy(group).orderBy(*order)
     ranked = df.withColumn("_n", F.row_number().over(w))
-    return ranked.join(F.broadcast(quota), group).filter("_n <= quota").drop("_n", "quota")
+    return ranked.join(quota, group).filter("_n <= quota").drop("_n", "quota")
 
 
 def weighted_variants(df: DataFrame, unit: list, project: str, weight: Column, uniform: Column, target: int, cap: int) -> DataFrame:

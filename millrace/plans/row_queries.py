@@ -145,12 +145,19 @@ def call_edges(spark, sf_dir):
 
 
 @query("WITH RECURSIVE " + _EDGES + """, r AS (SELECT scope, src, dst FROM k UNION SELECT r.scope, r.src, k.dst FROM r JOIN k ON k.scope = r.scope AND k.src = r.dst),
-s AS (SELECT n.scope, n.node, 1 + (SELECT count(*) FROM r a JOIN r b ON b.scope = a.scope AND b.src = a.dst AND b.dst = a.src WHERE a.scope = n.scope AND a.src = n.node AND a.dst <> n.node) AS component_size,
-EXISTS (SELECT 1 FROM r WHERE r.scope = n.scope AND r.src = n.node AND r.dst = n.node) AS recursive FROM n) SELECT scope, node, CAST(component_size AS BIGINT) AS component_size, recursive FROM s""")
+m AS (SELECT a.scope, a.src AS node, a.dst AS other FROM r a JOIN r b ON b.scope = a.scope AND b.src = a.dst AND b.dst = a.src UNION SELECT scope, node, node FROM n),
+c AS (SELECT scope, node, min(other) AS rep, count(*) AS component_size FROM m GROUP BY ALL), ce AS (SELECT DISTINCT k.scope, a.rep AS src, b.rep AS dst FROM k JOIN c a ON a.scope = k.scope AND a.node = k.src JOIN c b ON b.scope = k.scope AND b.node = k.dst WHERE a.rep <> b.rep),
+d AS (SELECT DISTINCT scope, rep, 0 AS depth FROM c UNION SELECT ce.scope, ce.src, d.depth + 1 FROM d JOIN ce ON ce.scope = d.scope AND ce.dst = d.rep), l AS (SELECT scope, rep, max(depth) AS level FROM d GROUP BY ALL)
+SELECT c.scope, c.node, c.component_size, EXISTS (SELECT 1 FROM r WHERE r.scope = c.scope AND r.src = c.node AND r.dst = c.node) AS recursive, CAST(l.level AS BIGINT) AS level, true AS callees_first FROM c JOIN l ON l.scope = c.scope AND l.rep = c.rep""")
 def scc_levels(spark, sf_dir):
+    """Components, levels, and whether each callee's component comes before that of the caller, or is the same."""
     nodes = _nodes(spark, sf_dir)
     known, _ = graph.call_edges(nodes, ["scope"], "node", "calls")
-    return graph.components(nodes, known, "scope", "node").select("scope", "node", "component_size", "recursive")
+    found = graph.components(nodes, known, "scope", "node")
+    place = found.select("scope", F.col("node").alias("dst"), F.col("component").alias("_c"))
+    last = known.join(place, ["scope", "dst"]).groupBy("scope", F.col("src").alias("node")).agg(F.max("_c").alias("_last"))
+    out = found.join(last, ["scope", "node"], "left")
+    return out.select("scope", "node", "component_size", "recursive", "level", (F.coalesce("_last", F.lit(-1)) <= F.col("component")).alias("callees_first"))
 
 
 @query("""WITH n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS v, p_size <= 25 AS w, CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 2000000 WHEN p_partkey % 10 = 1 THEN p_partkey + 1 WHEN p_partkey % 10 = 2 THEN p_partkey - 1 ELSE p_partkey + 3 END AS callee FROM part),
