@@ -9,14 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def answer_new(spark: SparkSession, source: str, schema: str, output: str, checkpoint: str, key: str, answer: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Process the files that the checkpoint has not seen and stop. A batch that runs again skips keys already written."""
+    """Process the files that the checkpoint has not seen and stop. Keys of earlier files are known from the stream's state, so no
+    batch reads what others have written; a batch that runs again replaces its own folder `batch=<number>` of the output."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        session = rows.sparkSession
-        hadoop = session.sparkContext._jvm.org.apache.hadoop.fs.Path(output)
-        if hadoop.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
-            rows = rows.join(session.read.parquet(output).select(key), key, "left_anti")
-        answer(rows.dropDuplicates([key])).write.mode("append").parquet(output)
+        answer(rows).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    stream = spark.readStream.schema(schema).json(source)
+    stream = spark.readStream.schema(schema).json(source).dropDuplicates([key])
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -94,6 +94,8 @@ def test_joins_fail_on_broken_contracts(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "x")], "id long, v string")
     with pytest.raises(Exception, match="an id has no row"):
         joins.checked_join(a, b, "id").collect()
+    with pytest.raises(Exception, match="an id has no row"):
+        joins.checked_join(a, b, "id").filter("v = 'x'").select("v").collect()
     with pytest.raises(Exception, match="twice"):
         joins.assert_unique(b.union(b), ["id"]).collect()
     with pytest.raises(Exception, match="differ"):
@@ -133,3 +135,17 @@ def test_sources_and_stream(spark, tmp_path):
     for _ in range(2):
         answer_new(spark, f"{tmp_path}/in", "id string, v long", f"{tmp_path}/out", f"{tmp_path}/state", "id", lambda d: d.withColumn("w", F.col("v") + 1)).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    jsonl.append_missing(spark.createDataFrame([("2", 9), ("3", 3)], "id string, v long"), f"{tmp_path}/in", "id", "id string, v long")
+    spark.createDataFrame([("2", 9), ("4", 4)], "id string, v long").write.mode("append").json(f"{tmp_path}/in")
+    answer_new(spark, f"{tmp_path}/in", "id string, v long", f"{tmp_path}/out", f"{tmp_path}/state", "id", lambda d: d.withColumn("w", F.col("v") + 1)).awaitTermination()
+    assert sorted((r["id"], r["w"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("1", 2), ("2", 3), ("3", 4), ("4", 5)]
+    (tmp_path / "twice.jsonl").write_text('{"id": "1", "x": {"a": 1, "a": 2}}\n')
+    with pytest.raises(Exception, match="twice"):
+        jsonl.read_unique_keys(spark, str(tmp_path / "twice.jsonl"), "id string").collect()
+    (tmp_path / "torn").mkdir()
+    for name, text in (("a", '{"id": "1"}\n{"id": "2"}\n{"id'), ("b", '{"id": "3"}\n{"i')):
+        (tmp_path / "torn" / name).write_text(text)
+    assert jsonl.read_tolerant(spark, f"{tmp_path}/torn", "id string").count() == 3
+    (tmp_path / "torn" / "c").write_text('{"id": "1"\n{"id": "2"}\n')
+    with pytest.raises(Exception, match="no JSON"):
+        jsonl.read_tolerant(spark, f"{tmp_path}/torn", "id string").collect()
