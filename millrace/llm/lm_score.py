@@ -19,6 +19,7 @@ the order of the block, and the slice's own entries, kept in one packed row, are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,15 @@ def word_key(word: np.ndarray) -> np.ndarray:
     return mix(word * MIX + np.uint64(1))
 
 
+def by_frequency(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, the most frequent first, and the place of each word among them: such places are small and pack well."""
+    words, at, count = np.unique(word, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return words[order], place[at]
+
+
 def slice_keys(words: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice's events, given as places in its distinct words: its sorted keys, and among these the places of each event's
     pair, of each distinct word and of START."""
@@ -118,7 +128,7 @@ def _blocks(parts: int):
             ids, target = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, h, first in word_slices(batch.column(1), SLICE):
                 word, row = events(h, first)
-                words, at = np.unique(word, return_inverse=True)
+                words, at = by_frequency(word)
                 opens = np.flatnonzero(np.diff(row, prepend=-1))
                 used, pair, of_word, start = slice_keys(words, at, opens)
                 own = target[lo:hi][row]
@@ -130,7 +140,7 @@ def _blocks(parts: int):
                 about = [ids[lo:hi].to_pylist(), np.bincount(row, minlength=hi - lo), target[lo:hi], len(words), packed(words), len(at), packed(at)]
                 cols: dict[str, list] = {k: [] for k in names}
                 for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    home = p == number % parts
+                    home = p == zlib.crc32(str(number).encode()) % parts
                     if a < b or home:
                         block = [number, p, b - a, packed(np.diff(used[a:b], prepend=np.uint64(0))), packed(c[a:b]), packed(t[a:b])]
                         for k, v in zip(names, block + (about if home else [None] * 7), strict=True):
