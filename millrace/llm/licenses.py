@@ -95,23 +95,31 @@ def words_of(text: F.Column) -> F.Column:
     return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
 
 
+def _let(value: F.Column, body) -> F.Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rolling(words: str, k: int) -> F.Column:
     """Hashes of each k consecutive words of the array column: positions from 0 in array order.
 
-    A hash of m + n words is that of the hashes of its first m and its last n words."""
-    one = F.transform(F.col(words), lambda w: F.xxhash64(w))
+    A hash of m + n words is that of the hashes of its first m and its last n words, and each array of hashes is made once."""
 
     def both(a: F.Column, b: F.Column, m: int) -> F.Column:
         return F.zip_with(a, F.slice(b, m + 1, F.greatest(F.size(b) - m, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
-    spans, length, done = {1: one}, 1, (None, 0)
-    while length <= k:
-        if k & length:
-            done = (spans[length], length) if done[0] is None else (both(done[0], spans[length], done[1]), done[1] + length)
-        spans[2 * length] = both(spans[length], spans[length], length)
-        length *= 2
+    def grown(spans: list[F.Column]) -> F.Column:
+        """spans: hashes of 1, 2, 4, ... words."""
+        if 1 << len(spans) <= k:
+            return _let(both(spans[-1], spans[-1], 1 << len(spans) - 1), lambda s: grown([*spans, s]))
+        bits = [i for i in range(len(spans)) if k >> i & 1]
+        out, length = spans[bits[0]], 1 << bits[0]
+        for i in bits[1:]:
+            out, length = both(out, spans[i], length), length + (1 << i)
+        return out
+
     # Entries past the last whole span are made of missing words.
-    return F.slice(done[0], 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
+    return F.slice(_let(F.transform(F.col(words), lambda w: F.xxhash64(w)), lambda s: grown([s])), 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
 
 
 def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -121,10 +129,13 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -
 
 
 def template_grams(templates: DataFrame, k: int) -> DataFrame:
-    """(h, template, label, size, position) of a table (label, text): one row a template word. Rows without label or text are left out."""
+    """(h, template, label, size, position, longest) of a table (label, text): one row a gram, with the gram's longest word. Rows
+    without label or text are left out."""
     t = templates.filter("label is not null and text is not null").select("label", "text").distinct()
     t = t.select("label", words_of(F.col("text")).alias("words")).withColumn("template", F.concat_ws("-", "label", F.hex(F.xxhash64("words"))))
-    return t.select("template", "label", F.size("words").alias("size"), F.posexplode(rolling("words", k)).alias("position", "h"))
+    grams = t.select("template", "label", "words", F.size("words").alias("size"), F.posexplode(rolling("words", k)).alias("position", "h"))
+    longest = F.array_max(F.transform(F.slice("words", F.col("position") + 1, k), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return grams.select("h", "template", "label", "size", "position", longest.alias("longest"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: DataFrame | None = None, k: int = K, slack: int = 3, coverage: float = 0.6) -> DataFrame:
@@ -138,8 +149,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grams = template_grams(templates or template_table(docs.sparkSession, TEMPLATES), k)
     # The templates' hashes (a fixed number, given by the caller) are looked up before grams leave their row.
     known = sorted(r["h"] for r in grams.select("h").distinct().collect())
+    # A text with a gram of a template has the gram's longest word; others need no hashes.
+    longest = F.array(*[F.lit(r["longest"]) for r in grams.select("longest").distinct().orderBy("longest").collect()]).cast("array<string>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
-    maybe = F.lower("text").rlike("|".join(sorted({p.split()[0] for p in phrases})))
+    maybe = F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted({p.split()[0] for p in phrases})]).cast("array<string>"))
 
     def label(i: F.Column) -> F.Column:
         out = F.lit(None).cast("string")
@@ -151,12 +164,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out
 
     places = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.struct(i.cast("long").alias("at"), label(i).alias("label")))
-    base = F.when(maybe & (F.size("words") > 0), F.filter(places, lambda x: x["label"].isNotNull())).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
+    base = F.when(maybe, F.filter(places, lambda x: x["label"].isNotNull())).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
     hits = F.array_compact(F.transform("grams", lambda h, i: F.when(h.isin(known), F.struct(h.alias("h"), i.alias("at")))))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.size("words").cast("long").alias("n_words"), base.alias("base"), rolling("words", k).alias("grams"))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.size("words").cast("long").alias("n_words"), base.alias("base"), F.when(F.arrays_overlap("words", longest), rolling("words", k)).otherwise(F.array().cast("array<bigint>")).alias("grams"))
     rows = cut(rows.select("doc_id", "rid", "n_words", "base", hits.alias("hits")), "license-words")
 
-    matches = rows.select("rid", F.inline("hits")).join(F.broadcast(grams), "h")
+    matches = rows.select("rid", F.inline("hits")).join(F.broadcast(grams.drop("longest")), "h")
     votes = matches.groupBy("rid", "template", "label", "size", (F.col("at") - F.col("position")).alias("diagonal")).agg(
         F.collect_set("position").alias("seen"), F.min("at").alias("first"), F.max("at").alias("last")
     )
