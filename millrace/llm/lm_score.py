@@ -12,7 +12,7 @@ events. Each count of the corpus goes into it, and a model is not smoothed less
 -log P(w | p); a document's score is the mean over its events of target loss less background loss (lower: nearer to the
 target). A document's own counts are left out of both models, so that a document of the target does not vouch for itself.
 
-Counts are exact. Texts are cut into slices of some megabytes. A slice sends each reducer one packed block with its distinct
+Counts are exact, up to keys that share a hash. Texts are cut into slices of some megabytes. A slice sends each reducer one packed block with its distinct
 keys (words and pairs) and their counts, so a key, however frequent, has one entry a slice. The reducer sends the sums back in
 the order of the block, and the slice's own entries, kept in one packed row, are scored with them.
 """
@@ -34,8 +34,11 @@ from millrace.llm.common import LOWER, MIX, SPACE, STEP, bound_batches, chunks,
 START, END = np.uint64(0x51ED270B0B5C4E21), np.uint64(0x2545F4914F6CDD1D)
 ADD, MU = 0.5, 2.0
 SLICE = 1 << 22
-LEAST_PARTS, PART_EVENTS = 64, 4_000_000
-LEVEL = 1
+#: Parts hold about so many events, whatever the size of the corpus.
+LEAST_PARTS, PART_EVENTS = 8, 4_000_000
+#: Bits of a key's hash. Of 10^12 keys some 10^-5 share theirs with another.
+KEY_BITS = 56
+LEVEL = 3
 
 
 def word_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -110,7 +113,8 @@ def slice_keys(words: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np
     word = words[at]
     prev = np.empty_like(word)
     prev[1:], prev[first] = word[:-1], START
-    used, place = np.unique(np.concatenate([pair_key(prev, word), word_key(words), word_key(np.array([START]))]), return_inverse=True)
+    keys = np.concatenate([pair_key(prev, word), word_key(words), word_key(np.array([START]))]) >> np.uint64(64 - KEY_BITS)
+    used, place = np.unique(keys, return_inverse=True)
     return used, place[: len(at)], place[len(at) : -1], place[-1]
 
 
@@ -120,7 +124,7 @@ def _blocks(parts: int):
     powers(1)
     names = ["slice", "p", "size", "keys", "c", "t", "doc_id", "n", "target", "d", "words", "m", "at"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-    inner = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+    inner = (np.arange(1, parts, dtype=object) * (1 << KEY_BITS) // parts).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 28
