@@ -636,6 +636,62 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
 
 
+def test_pipeline_like_brute_force(spark):
+    """Every stage on what the last one kept, against scores of the same model on the driver, sets of trigrams, all pairs and
+    windows compared one by one, and SQL."""
+    import duckdb
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    have = {r["doc_id"]: r for r in rows.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+
+    model = quality.fit_quality(rows, labels)
+    keep = {i for i, r in have.items() if model.scores(pa.array([r["text"] or ""], pa.large_string()))[0] >= 0.3}
+    rows = stage["quality"](spark, rows, SF)
+    assert ids(rows) == keep and keep < set(have)
+
+    order = sorted(keep)
+    found = brute_language([(have[i]["lang"], have[i]["text"]) for i in order if have[i]["lang"]], [have[i]["text"] for i in order])
+    keep = {i for i, (lang, score) in zip(order, found, strict=True) if lang != "und" and score >= 0.2}
+    rows = stage["language"](spark, rows, SF)
+    assert ids(rows) == keep
+
+    groups = brute_components([(i, have[i]["text"]) for i in keep], 5)
+    keep = {i for i, (_, c) in groups.items() if i == c}
+    rows = stage["near_dedup"](spark, rows, SF)
+    assert ids(rows) == keep and len(keep) < len(groups)
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    held = {d for d, _ in brute_contaminated([(i, have[i]["text"]) for i in keep], items)}
+    keep -= held
+    rows = stage["decontaminate"](spark, rows, SF)
+    assert ids(rows) == keep
+
+    got = stage["mixing"](spark, rows, SF).select("doc_id", "size", "source_size", "target", "taken").collect()
+    documents = rows.toPandas()  # noqa: F841
+    want = duckdb.sql(mixing.OP6_SQL.replace("FROM documents", "FROM documents")).fetchall()
+    assert sorted((r["doc_id"], r["taken"], round(r["target"], 6)) for r in got) == sorted((r[0], r[4], round(r[3], 6)) for r in want)
+    assert ids(corpus_pipeline.run(spark, SF)) == keep
+
+
+def test_pipeline_stages_on_edge_tables(spark):
+    """Empty tables, columns with names that operators use themselves, nulls in all columns, very long texts."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row", "value", "slots", "component_id", "item_id", "h", "m", "size_of"]
+    types = ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names)
+    long = "the quick brown fox jumps over the lazy dog and runs away from it " * 4000
+    rows = [(i, f"{t} {i}" if t else t, "en", "s", 0, *"abcdefgh") for i, t in enumerate([long, "the quick brown fox jumps", None, "", "over the lazy dog"])] + [(None,) * len(names)]
+    docs = spark.createDataFrame(rows, types)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        full = stage(spark, docs, SF)
+        assert empty.count() == 0 and len(full.collect()) <= len(rows)
+        if name != "mixing":
+            assert full.columns == empty.columns == names
+            assert name == "quality" or any(r["doc_id"] == 0 for r in full.collect())
+
+
 def test_language_stage_keeps_flat_scripts_on_large_tables(spark):
     """A share of 0.1 or so of a text's trigrams is frequent in its language, the others occur once in the table."""
     rng = np.random.default_rng(9)
