@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +55,11 @@ def prefix_collisions(df: DataFrame, project: str, name: str, stripped: str) ->
     return out.filter("n_names > 1")
 
 
-def cut_prompt(asm: Column, context: Column, budget: int) -> Column:
-    """struct(asm, context, cut) within the budget of estimated tokens: context lines go first, then asm lines."""
-    room = budget * 4 - F.length(asm)
-    kept = F.when(token_estimate(asm) + token_estimate(context) <= budget, context).otherwise(F.when(room > 0, budget_prefix(context, room)).otherwise(""))
-    body = F.when(token_estimate(asm) <= budget, asm).otherwise(budget_prefix(asm, F.lit(budget * 4)))
+def cut_prompt(asm: Column, context: Column, budget: int, counter: Callable[[Column], Column] = token_estimate) -> Column:
+    """struct(asm, context, cut) within the budget: context lines go first, from the end, then assembly lines. counter gives a text's
+    tokens; parts that do not fit whole are cut by the tokens of their lines."""
+    of_line = lambda x: counter(F.concat(x, F.lit("\n")))
+    room = budget - counter(asm)
+    kept = F.when(counter(asm) + counter(context) <= budget, context).otherwise(F.when(room > 0, budget_prefix(context, room, of_line)).otherwise(""))
+    body = F.when(counter(asm) <= budget, asm).otherwise(budget_prefix(asm, F.lit(budget), of_line))
     return F.struct(body.alias("asm"), kept.alias("context"), ((body != asm) | (kept != context)).alias("cut"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import code as C
+from millrace.functions import listing as L
 from millrace.functions import text as T
 from millrace.operators import graph, prepare
 from millrace.plans.registry import query, table
@@ -181,3 +182,24 @@ def propagated_names(spark, sf_dir):
     callee = F.map_values("known")
     name = lambda rows: rows.withColumn("name", F.concat(F.col("node").cast("string"), F.coalesce(F.concat(F.lit("<"), F.get(callee, F.lit(0))), F.lit(""))))
     return graph.propagate(levels.select("node", "level"), edges, name, "node").select("node", "level", "name")
+
+
+@query(f"""WITH {_P} SELECT k, 'mov eax, [rip]    ; -> "' || w || '"' || {_NL} || 'loc_1:' || {_NL} || 'call loc    ; -> sub_0001' || {_NL} || 'call loc    ; -> memcpy' || {_NL} || 'jne loc_1' || {_NL} || 'lea rax, [rip]    ; -> data' AS text FROM p""")
+def object_listings(spark, sf_dir):
+    """A string by its address, a function of the file, an import, a jump in the function, a section."""
+    text = _join("0: mov eax, [rip + 0x10] ## 0x", F.lower(F.hex(F.col("k") + 256)), "\n3: X86_64_RELOC_SIGNED __cstring\n7: call 0x0 <_y>\n8: X86_64_RELOC_BRANCH _f", F.col("t"), "\nc: call 0x0 <_x>\nd: X86_64_RELOC_BRANCH _memcpy\n11: jne 0x7 <_own+0x7>\n13: lea rax, [rip + 0x0]\n15: X86_64_RELOC_SIGNED __const-4")
+    names = F.create_map(_join("f", F.col("t")), F.lit("sub_0001"), F.lit("own"), F.lit("sub_0002"))
+    return _lines(spark, sf_dir).select("k", L.anonymous_object(text, names, F.create_map(F.col("k") + 256, "w"), F.lit("own")).alias("text"))
+
+
+@query(f"""WITH {_P} SELECT k, 'loc_1:' || {_NL} || 'lea rdi, [rip]    ; -> "' || substr(w, 2) || '"' || {_NL} || 'call memcpy    ; -> memcpy' || {_NL} || 'call sub_0002    ; -> sub_0002' || {_NL} || 'jmp loc_1' || {_NL} || 'mov eax, [dat_0001]' || {_NL} || 'call sub_0001    ; -> sub_0001' AS text FROM p""")
+def linked_listings(spark, sf_dir):
+    """The tail of a string, an import, the middle of another function, a jump back, absolute data, a call of itself."""
+    base = F.col("k") * 4096 + 4096
+    hexed = lambda d: F.lower(F.hex(base + d))
+    texts = [("lea rdi, [rip + 0x101] ## x",), ("call 0x", hexed(512), " <_near+0x3>"), ("call 0x", hexed(290)), ("jmp 0x", hexed(0)), ("mov eax, [0x", hexed(768), "]"), ("call 0x", hexed(0))]
+    code = F.array(*[F.struct((base + 7 * i).alias("address"), F.lit(7).cast("long").alias("size"), _join(*t).alias("text")) for i, t in enumerate(texts)])
+    names = F.create_map(base, F.lit("sub_0001"), base + 280, F.lit("sub_0002"), base + 512, F.lit("memcpy"), base + 768, F.lit("dat_0001"))
+    spans = F.array(F.struct(base.alias("start"), (base + 64).alias("end")), F.struct((base + 280).alias("start"), (base + 300).alias("end")))
+    rows = _lines(spark, sf_dir).select("k", code.alias("c"), names.alias("n"), F.create_map(base + 263, "w").alias("s"), spans.alias("f"))
+    return rows.select("k", L.anonymous_code("c", "n", "s", "f").alias("text"))

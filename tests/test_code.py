@@ -68,3 +68,26 @@ def test_audits(spark):
     assert [r["id"] for r in audit.evenly_spaced(spark.range(9).withColumn("g", F.lit(1)), ["g"], ["id"], 2).orderBy("id").collect()] == [0, 4]
     fns = spark.createDataFrame([("p", "a", ["b", "c"], 9, "asm a", "sum a"), ("p", "b", [], 3, "asm b", "sum b"), ("p", "c", ["b"], 99, "asm c", "sum c")], "p string, n string, calls array<string>, k int, asm string, s string")
     assert audit.deep_context(fns, ["p"], "n", "calls", "k", "asm", "s").filter("n = 'a'").first()["context"] == "; b (3 instructions):\nasm b\nsum c\n  sum b"
+
+
+def test_listings():
+    from millrace.functions import listing as L
+
+    regions = L.Regions({0x100: "sub_0001", 0x200: "sub_0002", 0x300: "memcpy"}, {0x400: "out of memory"}, [(0x100, 0x140), (0x200, 0x240)])
+    assert [regions.target(a) for a in (0x300, 0x404, 0x210, 0x404 + 20)] == ["memcpy", '"of memory"', "sub_0002", "data"]
+    code = [(0x100, 4, "jne 0x108"), (0x104, 4, "mov eax, [rip - 0x8]"), (0x108, 4, "call 0x100"), (0x10C, 4, "jmp 0x100")]
+    assert L.linked_listing(code, regions) == "loc_2:\njne loc_1\nmov eax, [rip]    ; -> sub_0001\nloc_1:\ncall sub_0001    ; -> sub_0001\njmp loc_2"
+    assert L.linked_listing([], regions) == "" and L.object_listing([""], {}, {}, "f") == ""
+    assert L.object_listing(["0: jmp 0x4 <_f+0x4>", "2: <bad op>", "4: ret"], {}, {}, "f") == "jmp loc_1\nloc_1:\nret"
+    assert L.object_listing(["0: call 0x5 <_g>", "1: X86_64_RELOC_BRANCH _g.part.1"], {"g": "sub_7"}, {}, "f") == "call sub_7    ; -> data"
+    assert L.display("é" * 30) == '"' + "\\xe9" * 20 + '…"'
+
+
+def test_prompts_are_cut_by_any_counter(spark):
+    from millrace.operators import prepare
+
+    lines = "\n".join(["aa bb"] * 10)
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    got = spark.range(1).select(prepare.cut_prompt(F.lit(lines), F.lit(lines), 25, words).alias("a"), prepare.cut_prompt(F.lit(lines), F.lit(lines), 8, words).alias("b")).first()
+    assert (got["a"]["asm"], got["a"]["context"].count("aa"), got["a"]["cut"]) == (lines, 2, True)
+    assert (got["b"]["asm"].count("aa"), got["b"]["context"]) == (4, "")
