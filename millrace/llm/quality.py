@@ -62,11 +62,17 @@ def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 @functools.cache
-def index_vectors() -> np.ndarray:
+def index_slots() -> np.ndarray:
+    """Of each bucket, the places of its index vector's ones, those at odd positions positive, the others negative."""
     rng = np.random.Generator(np.random.PCG64(11))
+    return np.stack([rng.integers(0, DIM, BUCKETS) for _ in range(NONZERO)], axis=1)
+
+
+@functools.cache
+def index_vectors() -> np.ndarray:
     out = np.zeros((BUCKETS, DIM), np.float32)
-    for s in range(NONZERO):
-        out[np.arange(BUCKETS), rng.integers(0, DIM, BUCKETS)] += 1 if s % 2 else -1
+    for s, at in enumerate(index_slots().T):
+        out[np.arange(BUCKETS), at] += 1 if s % 2 else -1
     return out
 
 
@@ -104,17 +110,17 @@ class QualityModel:
 
 
 def neighbour_sums(texts: pa.Array, out: np.ndarray) -> None:
-    """Add to out, for each bucket, the index vectors of its neighbours up to WINDOW tokens away. Sums are whole numbers."""
-    index = index_vectors()
+    """Add to out, for each bucket, the index vectors of its neighbours up to WINDOW tokens away. Sums are whole numbers: an index vector
+    is a few ones, so each neighbour is as many counts."""
+    slots, flat = index_slots(), out.reshape(-1)
     for bucket, _, row, _ in tokens(texts):
         for d in range(1, WINDOW + 1):
             near = row[d:] == row[:-d]
             a, b = bucket[d:][near], bucket[:-d][near]
-            pair, counts = np.unique(np.concatenate([a * BUCKETS + b, b * BUCKETS + a]), return_counts=True)
-            for i in range(0, len(pair), 1 << 15):
-                at = pair[i : i + (1 << 15)]
-                new = np.concatenate([[0], np.flatnonzero(np.diff(at // BUCKETS)) + 1])
-                out[at[new] // BUCKETS] += np.add.reduceat(index[at % BUCKETS] * counts[i : i + (1 << 15), None], new, axis=0)
+            for one, other in ((a, b), (b, a)):
+                at = one[:, None] * DIM + slots[other]
+                flat += np.bincount(at[:, 1::2].ravel(), minlength=len(flat))
+                flat -= np.bincount(at[:, ::2].ravel(), minlength=len(flat))
 
 
 def normalised(sums: np.ndarray) -> np.ndarray:
