@@ -1,4 +1,4 @@
-"""Cut points outside the training-data operators: a table written to the cluster's shared folder and read back."""
+"""Cut points: a table written to the cluster's shared folder and read back."""
 
 from __future__ import annotations
 
