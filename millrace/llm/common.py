@@ -1,4 +1,4 @@
-"""Shared helpers of the training-data operators: cut points, bitmaps and vectorised text hashing.
+"""Shared helpers of the training-data operators: bounds of batches, bitmaps and vectorised text hashing; cut points of the library.
 
 Word hashing works on the UTF-8 bytes of whole Arrow string columns. A word's hash is a polynomial over random byte
 codes modulo 2^64, taken from one prefix sum a chunk, so its cost does not depend on the number of words.
@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import cut, new_path  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 BITMAP_BITS, MOST_BITS = 1 << 23, 1 << 28
 #: Text that one Arrow batch takes to Python; the default limit of rows alone lets long texts make batches of any size.
@@ -25,26 +25,6 @@ BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD_BYTES = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only in local mode where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cut-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under shared_dir(), removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop_path)
-    return path
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Limit the bytes of Arrow batches in this session, unless a limit lower than Spark's own is set already."""
     now = spark.conf.get(BATCH_KEY).removesuffix("b")
@@ -67,16 +47,6 @@ def trimmed(run: Callable) -> Callable:
     return out
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
 def remove(*tables: DataFrame) -> None:
     """Delete the files of tables that cut() has written and that nothing reads any more."""
     for df in tables:
