@@ -227,4 +227,21 @@ def cross_entropy_difference(docs: DataFrame, is_target, id_col: str = "doc_id",
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("source") == "src1")
+    """Losses to six places."""
+    out = cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("source") == "src1")
+    return out.select("doc_id", "n_tokens", "is_target", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
+
+
+#: Counts of words (the end is a blank), contexts (the start is empty) and pairs, less each document's own.
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source = 'src1', false) AS t, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT doc_id, t, unnest(list_append(w, ' ')) AS x, unnest(list_prepend('', w)) AS p FROM w WHERE len(w) > 0),
+u AS MATERIALIZED (SELECT doc_id, t, p, x, count(*) AS k FROM e GROUP BY ALL),
+cp AS (SELECT p, x, sum(k) AS c, sum(CASE WHEN t THEN k ELSE 0 END) AS ct FROM u GROUP BY p, x), cw AS (SELECT x, sum(k) AS c, sum(CASE WHEN t THEN k ELSE 0 END) AS ct FROM u GROUP BY x), cc AS (SELECT p, sum(k) AS c, sum(CASE WHEN t THEN k ELSE 0 END) AS ct FROM u GROUP BY p),
+ow AS (SELECT doc_id, x, sum(k) AS k FROM u GROUP BY ALL), oc AS (SELECT doc_id, p, sum(k) AS k FROM u GROUP BY ALL), n AS (SELECT doc_id, sum(k) AS n FROM u GROUP BY doc_id),
+z AS (SELECT sum(k) AS n, sum(CASE WHEN t THEN k ELSE 0 END) AS nt, count(DISTINCT x) AS v FROM u), s AS (SELECT n, nt, v, CASE WHEN nt > 0 THEN nt / n ELSE 1.0 END AS r FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(nt AS DOUBLE) AS nt, v FROM z) q),
+m AS (SELECT u.doc_id, u.k, n.n AS len, u.t, CAST(u.t AS INTEGER) AS i, s.*, cp.c AS pa, cp.ct AS pt, cw.c AS wa, cw.ct AS wt, cc.c AS ca, cc.ct AS ctt, ow.k AS ok, oc.k AS ck, n.n AS own FROM u JOIN cp ON cp.p = u.p AND cp.x = u.x JOIN cw ON cw.x = u.x JOIN cc ON cc.p = u.p JOIN ow ON ow.doc_id = u.doc_id AND ow.x = u.x JOIN oc ON oc.doc_id = u.doc_id AND oc.p = u.p JOIN n ON n.doc_id = u.doc_id, s),
+l AS (SELECT doc_id, len, k, ln((pt - i * k + 2.0 * (wt - i * ok + 0.5) / (nt - i * own + 0.5 * v)) / (ctt - i * ck + 2.0)) AS lt, ln((r * (pa - k) + 2.0 * (r * (wa - ok) + 0.5) / (r * (n - own) + 0.5 * v)) / (r * (ca - ck) + 2.0)) AS lb FROM m),
+d AS (SELECT doc_id, -sum(k * lt) / any_value(len) AS a, -sum(k * lb) / any_value(len) AS b FROM l GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_tokens, w.t AS is_target, coalesce(round(d.a, 6), 0.0) AS loss_target, coalesce(round(d.b, 6), 0.0) AS loss_background, coalesce(round(d.a - d.b, 6), 0.0) AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id
+"""

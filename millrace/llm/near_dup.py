@@ -306,3 +306,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op1_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
+
+
+#: All pairs of different sets that share a shingle, and the closure of their links.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS s FROM w),
+g AS (SELECT s, min(doc_id) AS node, CAST(len(s) AS BIGINT) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM t WHERE len(s) > 0) x GROUP BY s),
+u AS MATERIALIZED (SELECT node, n, unnest(s) AS h FROM g),
+p AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.h = b.h AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT node AS a, node AS b FROM g UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(c.component, t.doc_id) AS component_id, coalesce(c.component, t.doc_id) = t.doc_id AS kept FROM t LEFT JOIN g ON g.s = list_sort(t.s) LEFT JOIN c ON c.node = g.node
+"""

@@ -7,9 +7,9 @@ from millrace.llm.ann import op4_ann
 from millrace.llm.decontaminate import op7_decontaminate
 from millrace.llm.lang_id import op2_lang_id
 from millrace.llm.licenses import op9_licenses
-from millrace.llm.lm_score import op5_lm_score
+from millrace.llm.lm_score import OP5_SQL, op5_lm_score
 from millrace.llm.mixing import OP6_SQL, op6_mixing
-from millrace.llm.near_dup import op1_near_dup
+from millrace.llm.near_dup import OP1_SQL, op1_near_dup
 from millrace.llm.quality import op3_quality
 from millrace.llm.token_counts import op8_token_counts
 from millrace.llm.warc import OP10_SQL, op10_warc
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_warc": op10_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL = {"op1_near_dup": OP1_SQL, "op5_lm_score": OP5_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}

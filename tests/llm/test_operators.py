@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, decontaminate, flat_files, lang_id, licenses, lm_score, mixing, near_dup, quality, token_counts, warc
+from millrace.llm import ann, decontaminate, flat_files, lang_id, licenses, lm_score, mixing, near_dup, quality, queries, token_counts, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_shingles string, component_id string, row string, size string"
@@ -320,6 +320,20 @@ def test_cross_entropy(docs, name):
     assert lm_score.cross_entropy_difference(docs.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_like_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda names, found: sorted(repr([r[names.index(c)] for c in sorted(names)]) for r in found)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
 def test_probabilities_add_up():
     """Both models share one vocabulary: over all words and the end, P(w | p) is 1."""
     texts = ["a b a c", "b b", "c a b d"]
