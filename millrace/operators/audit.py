@@ -79,13 +79,19 @@ def is_generated(content: Column, size: Column, pattern: str, head: int = 2048,
     return (size > most) | F.regexp_like(F.substring(content, 1, head).cast("string"), F.lit(pattern))
 
 
-def subtract_intervals(spans: DataFrame, holes: DataFrame, scope: str) -> DataFrame:
-    """What is left of spans (scope, id, lo, hi) without holes (scope, lo, hi), half-open: rows (scope, id, lo, hi)."""
-    cut = spans.join(holes.select(scope, F.col("lo").alias("_a"), F.col("hi").alias("_b")), scope).filter("_a < hi and _b > lo").select(scope, "id", "lo", "hi", "_a", "_b")
-    cut = cut.unionByName(spans.select(scope, "id", "lo", "hi", F.col("hi").alias("_a"), F.col("hi").alias("_b")))
+def subtract_intervals(spans: DataFrame, holes: DataFrame, scope: str, width: int = 4096) -> DataFrame:
+    """What is left of spans (scope, id, lo, hi) without holes (scope, lo, hi), half-open whole numbers: rows (scope, id, lo, hi).
+
+    Spans meet holes in bins of `width` only, each pair in the first bin that both touch; empty spans and holes count for nothing."""
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))).alias("_bin")
+    full = spans.filter("lo < hi").select(scope, "id", "lo", "hi")
+    cuts = holes.select(scope, F.col("lo").alias("_a"), F.col("hi").alias("_b")).filter("_a < _b")
+    both = full.select("*", bins("lo", "hi")).join(cuts.select("*", bins("_a", "_b")), [scope, "_bin"]).filter("_a < hi and _b > lo")
+    both = both.filter(F.col("_bin") == F.floor(F.greatest("lo", "_a") / width)).drop("_bin")
+    ends = both.select(scope, "id", "lo", "hi", "_a", "_b").unionByName(full.select(scope, "id", "lo", "hi", F.col("hi").alias("_a"), F.col("hi").alias("_b")))
     before = Window.partitionBy(scope, "id", "lo", "hi").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.greatest(F.coalesce(F.max("_b").over(before), F.col("lo")), F.col("lo"))
-    return cut.withColumn("_from", begin).filter("_from < _a").select(scope, "id", F.col("_from").alias("lo"), F.col("_a").alias("hi"))
+    return ends.withColumn("_from", begin).filter("_from < _a").select(scope, "id", F.col("_from").alias("lo"), F.col("_a").alias("hi"))
 
 
 def resolve_callees(calls: DataFrame, functions: DataFrame, scope: str, wide: str, node: str, callee: str, columns: list[str]) -> DataFrame:

@@ -224,7 +224,7 @@ g AS (SELECT *, v - row_number() OVER (PARTITION BY scope, id ORDER BY v) AS isl
 def subtract_intervals(spark, sf_dir):
     spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 50).alias("lo"), (F.col("o_orderkey") % 50 + 20).alias("hi"))
     holes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope"), F.inline(F.array(*[F.struct(F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi")) for a, b in ((5, 9), (22, 23), (40, 52))])))
-    return audit.subtract_intervals(spans, holes, "scope")
+    return audit.subtract_intervals(spans, holes, "scope", 16)
 
 
 @query("""WITH f AS (SELECT p_brand AS scope, p_type AS wide, p_name AS node, min(p_partkey) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), c AS (SELECT p_partkey AS id, p_brand AS scope, p_type AS wide, p_name AS callee FROM part WHERE p_partkey % 2 = 1),
