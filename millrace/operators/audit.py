@@ -138,3 +138,18 @@ def hit_groups(df: DataFrame, hits: str, score: str) -> DataFrame:
     own = F.array(F.lit("all"), F.when(F.size(hits) > 0, "hits").otherwise("others"))
     labels = F.concat(own, F.transform(F.array_distinct(hits), lambda h: F.concat(F.lit("signature:"), h)))
     return df.select(F.explode(labels).alias("grp"), score).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
+
+
+def link_map(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(address, symbol, object) of the symbols in a linker's map: `[ 1] path` names an object, `0xADDRESS 0xSIZE [ 1] _symbol` a symbol in it;
+    the symbol loses one underscore. Objects without a line are null."""
+    text = F.col(column)
+    objects = lines.select(F.regexp_extract(text, r"^\[\s*(\d+)\]\s+(.+)$", 1).alias("_n"), F.regexp_extract(text, r"^\[\s*(\d+)\]\s+(.+)$", 2).alias("object")).filter("_n != ''")
+    row = r"^0x([0-9a-fA-F]+)\s+0x[0-9a-fA-F]+\s+\[\s*(\d+)\]\s+(.+)$"
+    symbols = lines.filter(text.rlike(row)).select(F.conv(F.regexp_extract(text, row, 1), 16, 10).cast("long").alias("address"), F.regexp_replace(F.regexp_extract(text, row, 3), "^_", "").alias("symbol"), F.regexp_extract(text, row, 2).alias("_n"))
+    return symbols.join(objects, "_n", "left").select("address", "symbol", "object")
+
+
+def attributed(symbols: DataFrame, mapped: DataFrame) -> DataFrame:
+    """symbols (address, symbol, ...) with the object that the link map has for the same address and name, else null."""
+    return symbols.join(mapped.select("address", "symbol", "object").distinct(), ["address", "symbol"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import math
 
@@ -62,3 +63,33 @@ def markdown(df: DataFrame, order: list, most: int = 1000) -> str:
         raise ValueError(f"over {most} rows are no table for readers")
     cell = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
+
+
+def row_gate(df: DataFrame, counts: dict[str, int], group: str) -> DataFrame:
+    """df, which fails unless each group has exactly the rows it should have, and no other group has any: a last check before publishing."""
+    from millrace.operators.joins import violations
+
+    want = df.sparkSession.createDataFrame(list(counts.items()), "_g string, _want long")
+    have = df.groupBy(F.col(group).cast("string").alias("_g")).agg(F.count(F.lit(1)).alias("_have"))
+    both = want.join(have, "_g", "full")
+    checked = violations(both, ~F.col("_want").eqNullSafe(F.col("_have")), "a group has not the rows it should have")
+    return df.join(checked.select("_g"), F.col(group).cast("string") == F.col("_g"), "left_semi")
+
+
+_PAGE = """<!doctype html>
+<html lang="en"><head><meta charset="utf-8"><title>{title}</title>
+<style>body{{font:14px sans-serif;max-width:70em;margin:auto}} section{{border:1px solid #ccc;margin:1em 0;padding:0 1em}} pre{{white-space:pre-wrap;background:#f6f6f6;padding:.5em}} dt{{font-weight:bold}}</style></head>
+<body><h1>{title}</h1><p>{n} rows</p>
+{cards}
+</body></html>
+"""
+
+
+def review_sheet(df: DataFrame, order: list, title: str, code: tuple[str, ...] = (), most: int = 500) -> str:
+    """A page without scripts or outside files, a card a row; columns in `code` keep their lines. Fails rather than cutting a large result."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no sheet for readers")
+    show = lambda c, v: f"<pre>{html.escape(str(v))}</pre>" if c in code else html.escape("-" if v is None else str(v))
+    card = lambda r: "<section><dl>" + "".join(f"<dt>{html.escape(c)}</dt><dd>{show(c, r[c])}</dd>" for c in df.columns) + "</dl></section>"
+    return _PAGE.format(title=html.escape(title), n=len(rows), cards="\n".join(map(card, rows)))

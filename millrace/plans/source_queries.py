@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import joins, report
+from millrace.operators import audit, joins, report
 from millrace.plans.registry import query, table
-from millrace.sources import jsonl
+from millrace.sources import calls, jsonl
 from millrace.sources.scratch import new_path
 
 _ROW = "id string, name string, balance double"
@@ -147,3 +147,49 @@ def text_digests(spark, sf_dir):
     rows = d.select("project", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("s"), blob.alias("b"))
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["h"]), "\n")
     return rows.groupBy("project").agg(F.sha2(ordered, 256).alias("digest"), F.min("b").alias("first_blob"))
+
+
+def _shouts(request: str) -> str:
+    if request.endswith("3"):
+        raise ValueError("busy")
+    return request.upper()
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_name LIKE '%3' THEN NULL ELSE upper(s_name) END AS answer, s_name LIKE '%3' AS failed FROM supplier")
+def service_answers(spark, sf_dir):
+    """One answer a row from a stand-in for a service, which always fails for some."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return calls.answers(rows, "id", "name", _shouts, tries=2, pause=0.0).select("id", "answer", F.col("error").isNotNull().alias("failed"))
+
+
+def _pages(query: str, page: int) -> list[dict]:
+    n = len(query) % 7
+    return [{"url": f"{query}/{i}", "stars": i} for i in range((page - 1) * 3, min(n, page * 3))]
+
+
+@query("SELECT n_name AS q, n_name || '/' || CAST(i AS VARCHAR) AS url, i AS stars FROM nation, unnest(range(length(n_name) % 7)) AS x(i)")
+def paged_results(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("q"))
+    return calls.paged(names, "q", _pages, "url string, stars long", 3, pause=0.0)
+
+
+@query("""SELECT p_partkey AS id, 'Does ' || p_name || '.' AS text FROM part WHERE p_partkey % 4 > 0""")
+def teacher_texts(spark, sf_dir):
+    """Texts of the parts that have none yet; parts with one name and type are asked for once."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("source"), F.col("p_name").alias("name"))
+    done = p.filter("id % 4 = 0").select("id", F.lit("x").alias("text"), F.lit(None).cast("string").alias("error"))
+    return calls.descriptions(p, done, "id", "source", "name", lambda r: "this function does " + r.split("\n")[0] + ". And more.", pause=0.0).select("id", "text")
+
+
+@query("SELECT p_partkey * 16 AS address, p_name AS symbol, CASE WHEN p_size % 4 < 3 THEN 'src/' || CAST(p_size % 4 AS VARCHAR) || '.o' END AS object FROM part")
+def link_map_sources(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    lines = p.select(F.concat(F.lit("0x"), F.hex(F.col("p_partkey") * 16), F.lit("\t0x10\t[  "), (F.col("p_size") % 4).cast("string"), F.lit("] _"), "p_name").alias("value"))
+    objects = spark.range(3).select(F.concat(F.lit("[  "), F.col("id").cast("string"), F.lit("] src/"), F.col("id").cast("string"), F.lit(".o")).alias("value"))
+    return audit.attributed(p.select((F.col("p_partkey") * 16).alias("address"), F.col("p_name").alias("symbol")), audit.link_map(lines.union(objects)))
+
+
+@query("SELECT r_name AS name, r_regionkey AS id FROM region")
+def gated_rows(spark, sf_dir):
+    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("id"))
+    return report.row_gate(r, {x["name"]: 1 for x in r.collect()}, "name")

@@ -149,3 +149,28 @@ def test_sources_and_stream(spark, tmp_path):
     (tmp_path / "torn" / "c").write_text('{"id": "1"\n{"id": "2"}\n')
     with pytest.raises(Exception, match="no JSON"):
         jsonl.read_tolerant(spark, f"{tmp_path}/torn", "id string").collect()
+
+
+def test_calls_and_gates(spark):
+    from millrace.sources import calls
+
+    seen, waits = [], []
+
+    def flaky():
+        seen.append(1)
+        if len(seen) < 3:
+            raise TimeoutError("busy")
+        return "ok"
+
+    assert calls.attempted(flaky, 6, 1.0, waits.append) == ("ok", None) and len(waits) == 2 and 1 <= waits[0] <= 2 <= waits[1] <= 4
+    assert calls.attempted(lambda: 1 / 0, 2, 0.0, waits.append)[1].startswith("ZeroDivisionError")
+    rows = spark.createDataFrame([(1, None), (2, "a")], "id long, q string")
+    assert [tuple(r) for r in calls.answers(rows, "id", "q", str.upper, pause=0.0).orderBy("id").collect()] == [(1, None, "no request"), (2, "A", None)]
+    with pytest.raises(Exception, match="page 1 of"):
+        calls.paged(rows.filter("id = 2"), "q", lambda q, page: 1 / 0, "url string", 3, tries=1).collect()
+    with pytest.raises(Exception, match="should have"):
+        report.row_gate(rows, {"1": 1, "2": 2}, "id").collect()
+    with pytest.raises(Exception, match="should have"):
+        report.row_gate(rows, {"1": 1}, "id").collect()
+    page = report.review_sheet(spark.createDataFrame([(1, "<b>", "a\nb")], "id long, name string, code string"), ["id"], "Rows & cards", ("code",))
+    assert "&lt;b&gt;" in page and "<pre>a\nb</pre>" in page and "Rows &amp; cards" in page and "<script" not in page
