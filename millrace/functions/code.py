@@ -40,7 +40,8 @@ def name_in_code(text: Column, name: Column) -> Column:
     """The first identifier outside strings that is the name, with or without a leading `_`, in any case; else null."""
     wanted = F.array(F.lower(name), F.concat(F.lit("_"), F.lower(name)))
     found = F.regexp_extract_all(mask(text, comments=False), F.lit(IDENTIFIER), F.lit(0))
-    return F.when(name != "", F.get(F.filter(found, lambda x: F.array_contains(wanted, F.lower(x))), F.lit(0)))
+    # Most texts do not hold the name at all, and need no look at their identifiers.
+    return F.when((name != "") & F.contains(F.lower(text), F.lower(name)), F.get(F.filter(found, lambda x: F.array_contains(wanted, F.lower(x))), F.lit(0)))
 
 
 def call_summary(name: Column, n: Column, asm: Column, unit: str = "instructions", calls: str = "calls", strings: str = "string", data: str = "data") -> Column:
@@ -169,12 +170,19 @@ def scan(text: str) -> Iterator[tuple[str, str, int]]:
             yield m.lastgroup or "sign", m.group(), m.start()
 
 
-def anonymised(text: str, names: set[str], exempt: set[str]) -> tuple[str, int, int, int]:
+def words_of(text: Column) -> Column:
+    """Distinct words of a text, and those without their leading `_`: all names that anonymise() can find in it are among them."""
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    return let(words, lambda w: F.array_union(w, F.transform(F.filter(w, lambda t: t.startswith("_")), lambda t: t.substr(F.lit(2), F.length(t)))))
+
+
+def anonymised(text: str, names: set[str], exempt: set[str], used: list[tuple[int, int]] = ()) -> tuple[str, int, int, int]:
     """text with names of functions (called, declared or after `&`) as FUN_x1, FUN_x2, ... by first use; how many tokens were
-    replaced and how many stand elsewhere, and how many lines changed. A leading `_` is part of no name; exempt names stay."""
+    replaced and how many stand elsewhere, and how many lines changed. A leading `_` is part of no name; exempt names stay.
+    used: sorted ranges (first, last) of numbers that are not given, besides those of names and words."""
     found = list(scan(text))
     taken = {t for kind, t, _ in found if kind == "word"} | names
-    given, parts, done, other, changed, number = {}, [], 0, 0, [], 0
+    given, parts, done, other, changed, number, at_range = {}, [], 0, 0, [], 0, 0
     for before, (kind, token, at), after in zip([("", "", 0), *found], found, [*found[1:], ("", "", 0)], strict=False):
         name = token if token in names else token.removeprefix("_")
         if kind != "word" or name not in names or {token, name, token.removeprefix("_")} & exempt:
@@ -183,7 +191,12 @@ def anonymised(text: str, names: set[str], exempt: set[str]) -> tuple[str, int,
             other += 1
             continue
         if name not in given:
-            number = next(n for n in range(number + 1, number + len(taken) + 2) if f"FUN_x{n}" not in taken)
+            number += 1
+            while f"FUN_x{number}" in taken or (at_range < len(used) and used[at_range][0] <= number):
+                if at_range < len(used) and used[at_range][0] <= number:
+                    number, at_range = max(number, used[at_range][1] + 1), at_range + 1
+                else:
+                    number += 1
             given[name] = f"FUN_x{number}"
         parts += [text[done:at], given[name]]
         done = at + len(token)
@@ -197,9 +210,11 @@ _SOURCES = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in (
 
 
 @F.pandas_udf(_REPLACED)
-def anonymise(texts: pd.Series, names: pd.Series, exempt: pd.Series) -> pd.DataFrame:
-    """(text, names array, exempt array): see anonymised()."""
-    rows = [anonymised(t, set(n if n is not None else ()), set(e if e is not None else ())) if isinstance(t, str) else (None, None, None, None) for t, n, e in zip(texts, names, exempt, strict=True)]
+def anonymise(texts: pd.Series, names: pd.Series, exempt: pd.Series, used: pd.Series = None) -> pd.DataFrame:
+    """(text, names array, exempt array, and used numbers as an array of ranges if there are any): see anonymised()."""
+    some = lambda v: v if v is not None else ()
+    ranges = [[(r["first"], r["last"]) for r in some(u)] for u in used] if used is not None else [()] * len(texts)
+    rows = [anonymised(t, set(some(n)), set(some(e)), u) if isinstance(t, str) else (None, None, None, None) for t, n, e, u in zip(texts, names, exempt, ranges, strict=True)]
     return pd.DataFrame(rows, columns=["text", "n_replaced", "n_elsewhere", "n_lines"]).astype({c: "Int64" for c in ("n_replaced", "n_elsewhere", "n_lines")})
 
 

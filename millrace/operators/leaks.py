@@ -65,16 +65,32 @@ def structure_audit(rows: DataFrame, names: DataFrame, scope: str, key: str, asm
     return symbols.select(key, F.lit("symbol").alias("kind"), "names").unionByName(addresses)
 
 
+def with_names(rows: DataFrame, names: DataFrame, project: str, key: str, text: str) -> DataFrame:
+    """rows with `_n`, the names of their project that their texts hold, and `_used`, the ranges of numbers that the project's own
+    FUN_x names take: all that C.anonymise() needs, in proportion to the text. names: (project, name).
+
+    Rows of one project and key get the names of all their texts."""
+    known = names.select(project, F.col("name").alias("_word")).filter(F.col("_word").isNotNull()).distinct()
+    words = rows.select(project, key, F.explode(C.words_of(F.col(text))).alias("_word"))
+    held = words.join(known, [project, "_word"]).groupBy(project, key).agg(F.collect_set("_word").alias("_n"))
+    number = F.regexp_extract("_word", "^FUN_x([1-9][0-9]{0,17})$", 1)
+    numbers = known.filter(number != "").select(project, number.cast("long").alias("_i"))
+    runs = numbers.withColumn("_g", F.col("_i") - F.row_number().over(Window.partitionBy(project).orderBy("_i"))).groupBy(project, "_g").agg(F.min("_i").alias("first"), F.max("_i").alias("last"))
+    runs = runs.groupBy(project).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_used"))
+    # A text has fewer words than characters, and no more numbers are tried than twice its words and the ranges before.
+    used = F.slice(F.coalesce("_used", F.array().cast("array<struct<first:bigint,last:bigint>>")), F.lit(1), F.coalesce(F.length(text), F.lit(0)) + 2)
+    return rows.join(held, [project, key], "left").join(runs, project, "left").withColumn("_n", F.coalesce("_n", F.array().cast("array<string>"))).withColumn("_used", used)
+
+
 def residual_names(rows: DataFrame, names: DataFrame, project: str, key: str, text: str, own: str, exempt: str, most: int = 200) -> DataFrame:
     """Per project: n (all rows), n_changed, n_replaced, n_lines; and of the first `most` rows by key: n_checked, n_before and n_after
     (rows with other functions' names in calls or addresses, before and after anonymising), n_elsewhere (in other places after).
 
     names: (project, name). The sample bounds a report, all rows are anonymised and counted."""
-    known = names.groupBy(project).agg(F.collect_set("name").alias("_n"))
-    have = rows.join(known, project, "left").withColumn("_n", F.coalesce("_n", F.array().cast("array<string>")))
+    have = with_names(rows, names, project, key, text)
     others = F.array_except("_n", F.array(own))
-    done = have.select(project, key, others.alias("_o"), exempt, C.anonymise(F.col(text), F.col("_n"), F.col(exempt)).alias("_x"), C.anonymise(F.col(text), others, F.col(exempt)).alias("_y"))
-    done = done.withColumn("_z", C.anonymise(F.col("_y.text"), F.col("_o"), F.col(exempt)))
+    done = have.select(project, key, others.alias("_o"), exempt, "_used", C.anonymise(F.col(text), F.col("_n"), F.col(exempt), F.col("_used")).alias("_x"), C.anonymise(F.col(text), others, F.col(exempt), F.col("_used")).alias("_y"))
+    done = done.withColumn("_z", C.anonymise(F.col("_y.text"), F.col("_o"), F.col(exempt), F.col("_used")))
     place = F.row_number().over(Window.partitionBy(project).orderBy(key))
     done = done.select(project, F.col("_x"), F.col("_y"), F.col("_z"), (place <= most).alias("_in"))
     return done.groupBy(project).agg(

@@ -50,10 +50,11 @@ def prepare_rows(functions: DataFrame, texts: DataFrame, prefixes: DataFrame, sy
     if decompiled is None:
         f = f.withColumns(blank)
     else:
-        known = functions.groupBy("project").agg(F.collect_set("name").alias("_names"))
-        f = f.join(decompiled.select("id", F.col("code").alias("_raw")), "id", "left").join(known, "project", "left")
+        f = leaks.with_names(f.join(decompiled.select("id", F.col("code").alias("_raw")), "id", "left"), functions.select("project", "name"), "project", "id", "_raw")
         exempt = F.regexp_extract_all("asm", F.lit(leaks.NOTED), F.lit(1))
-        f = f.withColumn("_x", C.anonymise(F.col("_raw"), F.coalesce("_names", none), exempt))
+        # Code without a name of its project stays as it is, and is not sent to Python.
+        f = f.withColumn("_y", C.anonymise(F.when(F.size("_n") > 0, F.col("_raw")), F.col("_n"), exempt, F.col("_used")))
+        f = f.withColumn("_x", F.struct(F.coalesce("_y.text", "_raw").alias("text"), F.col("_y.n_replaced").alias("n_replaced")))
         leaked = C.name_in_code(F.col("_x.text"), F.col("name")).isNotNull() | C.name_in_code(F.col("_x.text"), F.col("_target")).isNotNull()
         f = f.withColumn("_leak", F.coalesce(leaked, F.lit(False))).withColumn("_fit", fit_code(F.col("_x.text"), F.lit(most) - F.col("_base") - counter(F.lit(T.DECOMPILED)), least_code, counter))
         reason = F.when(F.coalesce("_raw", F.lit("")) == "", "missing").when(F.col("_leak"), "target_name").when(F.col("_fit").isNull(), "budget")

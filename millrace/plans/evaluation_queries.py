@@ -294,13 +294,14 @@ def prepared_targets(spark, sf_dir):
 @query("""WITH d AS (SELECT doc_id, lang, doc_id % 5 AS k FROM documents WHERE doc_id % 10 > 0) SELECT CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'target_name' WHEN 2 THEN 'budget' END AS reason, k IN (3, 4) AS has_code, k = 4 AS code_cut, CAST(CASE WHEN k = 3 THEN 1 ELSE 0 END AS BIGINT) AS n_renamed, count(*) AS n FROM d GROUP BY ALL""")
 def prepared_code(spark, sf_dir):
     """Decompiled code is missing, shows the name, is one long line, fits with a call renamed, or is cut at a line."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 10 > 0")
     name = F.concat("source", F.lit("_get"), F.col("doc_id").cast("string"))
+    d = table(spark, sf_dir, "documents").filter("doc_id % 10 > 0").select("doc_id", "source")
+    d = d.join(d.groupBy("source").agg(F.min(name).alias("least")), "source", "left")
     k = F.col("doc_id") % 5
-    code = F.when(k == 1, F.concat(F.lit('x = "'), name, F.lit('"; y = '), F.upper(name), F.lit(";"))).when(k == 2, F.repeat(F.lit("z"), F.lit(9000))).when(k == 3, F.concat(F.lit("x = "), F.min(name).over(Window.partitionBy("source")), F.lit("(1);"))).when(k == 4, F.repeat(F.lit("a = b + c;\n"), F.lit(900)))
-    functions = d.select(F.lit("test").alias("split"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("project"), F.lit("f.c").alias("file"), F.lit("-O0").alias("opt"), name.alias("name"), F.lit("mov").alias("asm"), F.lit("").alias("context"), F.min(name).over(Window.partitionBy("source")).alias("least"))
+    code = F.when(k == 1, F.concat(F.lit('x = "'), name, F.lit('"; y = '), F.upper(name), F.lit(";"))).when(k == 2, F.repeat(F.lit("z"), F.lit(9000))).when(k == 3, F.concat(F.lit("x = "), "least", F.lit("(1);"))).when(k == 4, F.repeat(F.lit("a = b + c;\n"), F.lit(900)))
+    functions = d.select(F.lit("test").alias("split"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("project"), F.lit("f.c").alias("file"), F.lit("-O0").alias("opt"), name.alias("name"), F.lit("mov").alias("asm"), F.lit("").alias("context"))
     decompiled = d.select(F.col("doc_id").cast("string").alias("id"), code.alias("code"))
     texts = functions.select(F.lit("none").alias("key"), F.lit("").alias("text"), F.lit("").alias("text_en")).limit(1)
     prefixes = functions.select("project", F.array().cast("array<string>").alias("words")).distinct()
-    rows, _ = pipelines.prepare_rows(functions.drop("least"), texts, prefixes, "name it", 600, decompiled)
+    rows, _ = pipelines.prepare_rows(functions, texts, prefixes, "name it", 600, decompiled)
     return rows.groupBy(F.col("code_reason").alias("reason"), "has_code", "code_cut", F.when(F.col("has_code"), F.col("n_renamed")).otherwise(0).alias("n_renamed")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import code as C
-from millrace.operators import audit
+from millrace.operators import audit, leaks
 
 
 def one(spark, column):
@@ -91,3 +91,16 @@ def test_prompts_are_cut_by_any_counter(spark):
     got = spark.range(1).select(prepare.cut_prompt(F.lit(lines), F.lit(lines), 25, words).alias("a"), prepare.cut_prompt(F.lit(lines), F.lit(lines), 8, words).alias("b")).first()
     assert (got["a"]["asm"], got["a"]["context"].count("aa"), got["a"]["cut"]) == (lines, 2, True)
     assert (got["b"]["asm"].count("aa"), got["b"]["context"]) == (4, "")
+
+def test_anonymise_gets_only_names_that_its_text_holds(spark):
+    names = {"foo", "_bar", "baz", "FUN_x1", "FUN_x2", "FUN_x4", "FUN_x007", ""}
+    texts = {"1": 'foo(1); _bar(2); __bar(3); baz(4); "qux"', "2": "other(1); _ (2); FUN_x3 = 3;", "3": None, "4": "foo(FUN_x3(2)); bar(1)"}
+    rows = spark.createDataFrame([("p", k, t) for k, t in texts.items()] + [("q", "5", "foo(1)")], "project string, id string, t string")
+    known = spark.createDataFrame([("p", n) for n in sorted(names)] + [("p", f"name{i}") for i in range(500)] + [("p", None)], "project string, name string")
+    got = leaks.with_names(rows, known, "project", "id", "t").withColumn("x", C.anonymise(F.col("t"), F.col("_n"), F.array().cast("array<string>"), F.col("_used"))).collect()
+    every = names | {f"name{i}" for i in range(500)}
+    for r in got:
+        want = C.anonymised(r["t"], every if r["project"] == "p" else set(), set()) if r["t"] else (None,) * 4
+        assert tuple(r["x"]) == want, r["id"]
+        assert len(r["_n"]) <= 4
+    assert {r["id"]: r["x"]["text"] for r in got}["1"] == 'FUN_x3(1); FUN_x5(2); FUN_x5(3); FUN_x6(4); "qux"'
