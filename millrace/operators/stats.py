@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,17 +71,82 @@ def draw(seed: str, n: Column, *parts: str) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long"), n)
 
 
+#: Draws that are made at once, and that meet one block of units.
+_AT_ONCE, _A_BLOCK = 1 << 20, 1 << 24
+
+
+def _draws(seed: str, repeats: int, step: int, size: int, scope: str):
+    """draw() of (rep, slot) for spans of slots: a row for each block of `size` places, its draws by repeat as two bytes each."""
+    heads = [f"{seed}\0{rep}\0".encode() for rep in range(repeats)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, start, n in zip(frame[scope], frame["_start"], frame["n"], strict=True):
+                slots = [b"%d" % i for i in range(start, min(start + step, n))]
+                places = np.frombuffer(b"".join([sha256(h + s).digest() for h in heads for s in slots]), ">u4")[::8].astype(np.int64) % n
+                block, blocks = places // size, (n - 1) // size + 1
+                counts = np.bincount(block * repeats + np.repeat(np.arange(repeats), len(slots)), minlength=blocks * repeats).astype(np.int32).reshape(blocks, repeats)
+                offsets = (places % size).astype(np.uint16)[np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")]
+                ends = np.cumsum(counts.sum(axis=1))
+                some = np.flatnonzero(counts.any(axis=1))
+                parts = [offsets[ends[i - 1] if i else 0 : ends[i]].tobytes() for i in some]
+                yield pd.DataFrame({scope: pd.Series([key] * len(some), dtype=frame[scope].dtype), "_block": some, "_counts": [counts[i].tobytes() for i in some], "_offsets": parts})
+
+    return run
+
+
+def _block_sums(repeats: int, size: int, scope: str, total: str, weight: str):
+    """Sums of a block's units by repeat, and how many of the drawn ones have a value."""
+
+    def run(key, draws: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
+        at = (units["_place"] % size).to_numpy()
+        out = {scope: [key[0]] * repeats, "rep": np.arange(repeats)}
+        for name, column in (("total", total), ("weight", weight)):
+            whole = pd.api.types.is_integer_dtype(units[column].dtype)
+            values, known = np.zeros(size, np.int64 if whole else np.float64), np.zeros(size, np.int64)
+            known[at] = units[f"_has_{name}"].to_numpy()
+            values[at] = units[column].to_numpy()
+            sums, seen = np.zeros(repeats, values.dtype), np.zeros(repeats, np.int64)
+            for counts, offsets in zip(draws["_counts"], draws["_offsets"], strict=True):
+                n, of = np.frombuffer(counts, np.int32), np.frombuffer(offsets, np.uint16)
+                starts, some = (np.cumsum(n) - n)[n > 0], n > 0
+                sums[some] += np.add.reduceat(values[of], starts)
+                seen[some] += np.add.reduceat(known[of], starts)
+            out[name], out[f"n_{name}"] = sums, seen
+        return pd.DataFrame(out)
+
+    return run
+
+
 def bootstrap_means(units: DataFrame, scope: str, total: str, weight: str, repeats: int, seed: str) -> DataFrame:
-    """(scope, rep, value): resampled sum(total) / sum(weight) of each scope. units has a row a unit (row or cluster).
-
-    Draws meet units on (scope, place); the work is units times repeats, spread over all tasks."""
-    place = F.row_number().over(Window.partitionBy(scope).orderBy("unit")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(scope))
-    numbered = units.select(scope, "unit", total, weight, place.cast("long").alias("place"), n.alias("n"))
-    draws = numbered.select(scope, F.col("place").alias("slot"), "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    draws = draws.withColumn("place", draw(seed, F.col("n"), "rep", "slot"))
-    hit = draws.select(scope, "rep", "place").join(numbered.select(scope, "place", total, weight), [scope, "place"])
-    return hit.groupBy(scope, "rep").agg((F.sum(total) / F.sum(weight)).alias("value"))
+    """(scope, rep, value): resampled sum(total) / sum(weight) of each scope. units has a row a unit (row or cluster); total and
+    weight are whole numbers or doubles.
+
+    The work is units times repeats, spread over all tasks: units are numbered by ranges and a prefix sum, draws are made by spans of
+    slots and packed, two bytes each, for the block of units that they meet. No table of draws is held or broadcast."""
+    size = max(1, min(1 << 16, _A_BLOCK // repeats))
+    step = max(1, _AT_ONCE // repeats)
+    parts = max(1, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = lambda c: c if units.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else None
+    number = lambda c: F.col(c).cast("long" if kind(c) else "double")
+    values = [F.coalesce(number(c), F.lit(0).cast("long" if kind(c) else "double")).alias(n) for c, n in ((total, "_total"), (weight, "_weight"))]
+    dealt = units.filter(F.col(scope).isNotNull()).select(scope, "unit", *values, F.col(total).isNotNull().cast("long").alias("_has_total"), F.col(weight).isNotNull().cast("long").alias("_has_weight"))
+    dealt = cut(dealt.repartitionByRange(parts, scope, "unit").withColumn("_p", F.spark_partition_id()), "units")
+    w = Window.partitionBy(scope)
+    sums = dealt.groupBy(scope, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    sums = cut(sums.select(scope, "_p", (F.sum("_c").over(w.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("n")), "ranges")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(scope, "_p").orderBy("unit")) - 1
+    numbered = dealt.join(sums, [scope, "_p"]).select(scope, "_total", "_weight", "_has_total", "_has_weight", place.alias("_place"))
+    numbered = numbered.withColumn("_block", F.floor(F.col("_place") / size).cast("long"))
+    spans = sums.select(scope, "n").distinct().select(scope, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("_start"), "n")
+    of = f"`{scope}` {units.schema[scope].dataType.simpleString()}"
+    draws = spans.repartition(parts).mapInPandas(_draws(seed, repeats, step, size, scope), f"{of}, _block long, _counts binary, _offsets binary")
+    types = {n: "long" if kind(c) else "double" for c, n in ((total, "total"), (weight, "weight"))}
+    met = draws.groupBy(scope, "_block").cogroup(numbered.groupBy(scope, "_block")).applyInPandas(
+        _block_sums(repeats, size, scope, "_total", "_weight"), f"{of}, rep int, total {types['total']}, n_total long, weight {types['weight']}, n_weight long"
+    )
+    sum_of = lambda n: F.when(F.sum(f"n_{n}") > 0, F.sum(n))
+    return met.groupBy(scope, "rep").agg((sum_of("total") / sum_of("weight")).alias("value"))
 
 
 def interval(samples: DataFrame, scope: str, low: int, high: int) -> DataFrame:

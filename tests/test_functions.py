@@ -174,3 +174,28 @@ def test_calls_and_gates(spark):
         report.row_gate(rows, {"1": 1}, "id").collect()
     page = report.review_sheet(spark.createDataFrame([(1, "<b>", "a\nb")], "id long, name string, code string"), ["id"], "Rows & cards", ("code",))
     assert "&lt;b&gt;" in page and "<pre>a\nb</pre>" in page and "Rows &amp; cards" in page and "<script" not in page
+
+
+def test_bootstrap_meets_every_draw_in_blocks(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    units = spark.range(700).select((F.col("id") % 2).cast("string").alias("s"), (-F.col("id")).alias("unit"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("t"), (F.col("id") % 3 + 0.5).cast("double").alias("w"))
+    place = F.row_number().over(Window.partitionBy("s").orderBy("unit")) - 1
+    numbered = units.withColumn("place", place.cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s")))
+    drawn = numbered.select("s", F.col("place").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("rep")).withColumn("place", stats.draw("x", F.col("n"), "rep", "slot"))
+    want = drawn.join(numbered.select("s", "place", "t", "w"), ["s", "place"]).groupBy("s", "rep").agg((F.sum("t") / F.sum("w")).alias("value")).collect()
+    for once, block in ((1 << 20, 1 << 24), (40 * 13, 40 * 100)):
+        monkeypatch.setattr(stats, "_AT_ONCE", once)
+        monkeypatch.setattr(stats, "_A_BLOCK", block)
+        got = {(r["s"], r["rep"]): r["value"] for r in stats.bootstrap_means(units, "s", "t", "w", 40, "x").collect()}
+        assert len(got) == 80 and got == pytest.approx({(r["s"], r["rep"]): r["value"] for r in want}, rel=1e-12)
+
+
+def test_bootstrap_broadcasts_no_units_and_no_draws(spark):
+    units = spark.range(50).select(F.lit(0).alias("s"), F.col("id").alias("unit"), F.col("id").alias("t"), F.lit(1).alias("w"))
+    lines = stats.bootstrap_means(units, "s", "t", "w", 20, "x")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = [y for j, y in enumerate(lines) if j > i and all(d > depth[i] for d in depth[i + 1 : j + 1])]
+            assert not [y for y in below if "Window" in y or "Generate" in y]
