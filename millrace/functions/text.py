@@ -107,10 +107,12 @@ NO_CODE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|/\*.*?
 NUMBER = r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|[0-9]+)(?:[uU](?:[lL]{1,2})?|[lL]{1,2}[uU]?)?(?![\w.])"
 
 
-def blanked(text: Column, pattern: str) -> Column:
-    """text with spaces for all but the line ends of what matches the pattern."""
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s){pattern}|."), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 1, F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+def blanked(text: Column, pattern: str = NO_CODE) -> Column:
+    """text with spaces for all but the line ends of what matches the pattern, whose matches start with a quote or a slash."""
+    # What opens no match goes in runs, so that a text has few parts; those of one character opened none.
+    opens = lambda p: (F.length(p) > 1) & F.substring(p, 1, 1).isin('"', "'", "/")
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){pattern}|[^\"'/]++|."), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(opens(p), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
 
 
 def numeric_literals(text: Column, assembly: bool = True) -> Column:
@@ -118,15 +120,18 @@ def numeric_literals(text: Column, assembly: bool = True) -> Column:
     lines from 1. In assembly what follows a semicolon, and what stands in square brackets, holds none."""
 
     def of_line(line: Column, i: Column) -> Column:
-        code = F.regexp_replace(F.regexp_replace(line, ";.*", ""), r"\[[^\]]*\]", " ") if assembly else line
-        return F.transform(F.regexp_extract_all(code, F.lit(NUMBER), F.lit(0)), lambda n: F.struct(n.alias("literal"), (i + 1).cast("int").alias("line")))
+        return F.transform(F.regexp_extract_all(line, F.lit(NUMBER), F.lit(0)), lambda n: F.struct(n.alias("literal"), (i + 1).cast("int").alias("line")))
 
-    return F.flatten(F.transform(lines(blanked(text, NO_CODE)), of_line))
+    # Neither reaches over the end of a line, so whole texts are cleared at once.
+    code = blanked(text)
+    code = F.regexp_replace(F.regexp_replace(code, ";.*", ""), r"\[[^\]\n]*\]", " ") if assembly else code
+    return F.flatten(F.transform(lines(code), of_line))
 
 
 def literal_bits(literal: Column) -> Column:
     """The 64 bits of a literal as 16 hex digits, negative ones as two's complement; null where it has more (decimal: 20 digits on)."""
-    body = F.regexp_replace(F.regexp_extract(literal, r"^[-+]?(?:0[xX])?0*([0-9a-fA-F]*)", 1), "^$", "0")
+    found = F.regexp_extract(literal, r"^[-+]?(?:0[xX])?0*([0-9a-fA-F]*)", 1)
+    body = F.when(found == "", "0").otherwise(found)
     signed = F.concat(F.when(F.startswith(literal, F.lit("-")), "-").otherwise(""), body)
     hexed = F.contains(F.lower(literal), F.lit("x"))
     bits = F.when(hexed & (F.length(body) <= 16), F.conv(signed, 16, 16)).when(~hexed & (F.length(body) <= 19), F.conv(signed, 10, 16))

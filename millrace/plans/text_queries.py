@@ -105,7 +105,7 @@ def numeric_literals(spark, sf_dir):
     """Numbers that count, among those in strings, comments, brackets, names and after semicolons that do not."""
     q, p = F.col("l_quantity").cast("long").cast("string"), F.col("l_partkey")
     text = F.concat(F.lit("mov [rax+16], "), q, F.lit(" ; 99\n/* 5 */ cmp 0X"), F.hex(p), F.lit('uL, x12\n"7 \\" 8" // 3\nadd r8, -'), p.cast("string"), F.lit(", 1.5\n/* 1\n2 */ push '4' "), q, F.lit("ll"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.inline(T.numeric_literals(text)))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.inline_outer(T.numeric_literals(text))).filter("literal is not null")
     return rows.groupBy("literal", "line").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
