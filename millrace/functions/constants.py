@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.code import let
 from millrace.functions.text import literal_bits, numeric_literals
 
 
@@ -66,57 +67,87 @@ def signatures() -> list[tuple[str, str, int, list[int]]]:
 BOXES = (("aes_sbox_prefix", "637c777bf26b6fc53001672bfed7ab76"), ("aes_inverse_sbox_prefix", "52096ad53036a538bf40a39e81f3d7fb"))
 
 
-def signature_table(spark: SparkSession) -> DataFrame:
-    """(signature, strength, least, bits): of fixed size, some 700 rows."""
-    rows = [(name, strength, least, f"{v:016x}") for name, strength, least, values in signatures() for v in values]
-    return spark.createDataFrame(rows, "signature string, strength string, least int, bits string")
-
-
 def constant_hints(rows: DataFrame, key: str, sections: dict[str, tuple[str, bool]], most: int = 8) -> DataFrame:
     """(key, source, signature, strength, n_constants, evidence): the hints of each row's sections (name: column, is it assembly).
 
     A literal also stands for its low half if it is a sign-extended word, and for both halves if one signature has both.
-    evidence: the first constants that count, as 0x... in order of place, `most` at most. Sections never count together."""
-
-    def literals_of(name: str, column: str, assembly: bool) -> Column:
-        return F.transform(numeric_literals(F.coalesce(F.col(column), F.lit("")), assembly), lambda n, i: F.struct(F.lit(name).alias("source"), i.alias("i"), literal_bits(n["literal"]).alias("bits")))
-
-    literals = rows.select(key, F.inline(F.flatten(F.array(*[literals_of(name, *of) for name, of in sections.items()]))))
-    known = signature_table(rows.sparkSession)
-    low, high = (F.concat(F.lit("00000000"), F.substring("bits", i, 8)) for i in (9, 1))
-    extended = F.col("bits") >= "ffffffff80000000"
-    # A packed word counts only if one signature has both of its halves.
-    halves = literals.filter((F.col("bits") > "00000000ffffffff") & ~extended).select("bits", low.alias("low"), high.alias("high")).distinct()
-    of = lambda c: F.broadcast(known.select(F.col("bits").alias(c), "signature"))
-    packed = halves.join(of("low"), "low").join(of("high"), ["high", "signature"]).select("bits", F.lit(True).alias("packed")).distinct()
-    stands = F.array_compact(F.array(F.col("bits"), F.when(extended | F.col("packed"), low), F.when(F.col("packed"), high)))
-    seen = literals.join(packed, "bits", "left").select(key, "source", "i", F.explode(stands).alias("bits"))
-    hits = seen.join(F.broadcast(known), "bits").groupBy(key, "source", "signature", "strength", "least", "bits").agg(F.min("i").alias("i"))
-    shown = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("i", "bits"))), 1, most), lambda e: F.concat(F.lit("0x"), F.regexp_replace(e["bits"], "^0+", "")))
-    hints = hits.groupBy(key, "source", "signature", "strength", "least").agg(F.count(F.lit(1)).alias("n_constants"), shown.alias("evidence")).filter("n_constants >= least").drop("least")
-    return hints.unionByName(_boxes(literals, key))
-
-
-def _boxes(literals: DataFrame, key: str) -> DataFrame:
-    """Hints of eight S-box bytes in order: as eight literals, or as one of 64 bits in either order of bytes."""
-    rows = literals.groupBy(key, "source").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "bits"))), lambda n: n["bits"]).alias("ns"))
-    small = lambda n: F.startswith(n, F.lit("00000000000000"))
-    byte = F.transform("ns", lambda n: F.when(n.isNull() | ~small(n), "??").otherwise(F.substring(n, 15, 2)))
-    turned = lambda w: F.array_join(F.reverse(F.regexp_extract_all(w, F.lit(".."), F.lit(0))), "")
-    rows = rows.withColumn("bytes", byte).withColumn("ordered", F.transform("bytes", lambda b, i: F.array_join(F.slice("bytes", i + 1, 8), "")))
-    rows = rows.withColumn("words", F.transform("ns", lambda n: F.when(~small(n), F.array(n, turned(n)))))
-    out = None
-    for name, prefix in BOXES:
-        windows = [prefix[i : i + 16] for i in range(0, len(prefix) - 14, 2)]
-        got = rows.select(key, "source", F.get(F.array_compact(_first_box(windows)), F.lit(0)).alias("found")).filter("found is not null")
-        got = got.select(key, "source", F.lit(name).alias("signature"), F.lit("ordered_8_bytes").alias("strength"), F.lit(8).cast("long").alias("n_constants"), F.array("found").alias("evidence"))
-        out = got if out is None else out.unionByName(got)
+    evidence: the first constants that count, as 0x... in order of place, `most` at most. Sections never count together. Each row is
+    looked at alone, against the fixed table of signatures; nothing is shuffled, so frequent constants meet in no task."""
+
+    def hints_of(name: str, column: str, assembly: bool) -> Column:
+        found = F.transform(numeric_literals(F.coalesce(F.col(column), F.lit("")), assembly), lambda n, i: F.struct(i.alias("i"), literal_bits(n["literal"]).alias("bits")))
+        return let(found, lambda ns: F.concat(let(_known(ns), lambda c: _counted(c, name, most)), _boxes(ns, name)))
+
+    # An outer inline: for an inner one the planner adds a filter that does the same work again.
+    return rows.select(key, F.inline_outer(F.flatten(F.array(*[hints_of(name, *of) for name, of in sections.items()])))).filter("signature is not null")
+
+
+_WIDE, _EXTENDED = "00000000ffffffff", "ffffffff80000000"
+_NO_HINTS = "array<struct<source:string,signature:string,strength:string,n_constants:bigint,evidence:array<string>>>"
+
+
+def _places() -> dict[str, list[int]]:
+    """Places in the table of signatures of each constant, as 16 hex digits."""
+    out: dict[str, list[int]] = {}
+    for place, (*_, values) in enumerate(signatures()):
+        for v in values:
+            out.setdefault(f"{v:016x}", []).append(place)
     return out
 
 
-def _first_box(windows: list[str]) -> Column:
-    in_word = lambda i: F.get(F.filter(F.get("words", i), lambda w: w.isin(windows)), F.lit(0))
-    return F.transform("ordered", lambda o, i: F.when(o.isin(windows), o).otherwise(in_word(i)))
+def _known(ns: Column) -> Column:
+    """Known constants (i, bits, of: places of their signatures), in order of place, that literals (i, bits) stand for."""
+    places = _places()
+    # A set decides for most literals that they are none; the map is for the rest.
+    known, table = (lambda b: b.isin(list(places))), F.expr("map(" + ", ".join(f"'{b}', array({', '.join(map(str, of))})" for b, of in places.items()) + ")")
+    of = lambda b: F.try_element_at(table, b)
+
+    def stands(n: Column) -> Column:
+        bits = n["bits"]
+        low, high = (F.concat(F.lit("00000000"), F.substring(bits, at, 8)) for at in (9, 1))
+        # A packed word counts only if one signature has both of its halves.
+        packed = F.when(known(low) & known(high), F.arrays_overlap(of(low), of(high))).otherwise(False)
+        wide = F.when(bits >= _EXTENDED, F.array(bits, low)).when(packed, F.array(bits, low, high)).otherwise(F.array(bits))
+        found = F.when(bits > _WIDE, wide).otherwise(F.array(bits))
+        return F.transform(F.filter(found, known), lambda b: F.struct(n["i"].alias("i"), b.alias("bits"), of(b).alias("of")))
+
+    return F.sort_array(F.flatten(F.transform(ns, stands)))
+
+
+def _counted(known: Column, source: str, most: int) -> Column:
+    """Hints of the signatures that have enough distinct ones of the known constants."""
+    table = F.expr("array(" + ", ".join(f"named_struct('signature', '{name}', 'strength', '{strength}', 'least', {least})" for name, strength, least, _ in signatures()) + ")")
+
+    def one(place: Column) -> Column:
+        own = F.array_distinct(F.transform(F.filter(known, lambda k: F.array_contains(k["of"], place)), lambda k: k["bits"]))
+        shown = lambda o: F.transform(F.slice(o, 1, most), lambda v: F.concat(F.lit("0x"), F.regexp_replace(v, "^0+", "")))
+        hint = lambda o, t: F.struct(F.lit(source).alias("source"), t["signature"].alias("signature"), t["strength"].alias("strength"), F.size(o).cast("long").alias("n_constants"), shown(o).alias("evidence"))
+        return let(own, lambda o: let(F.get(table, place), lambda t: F.when(F.size(o) >= t["least"], hint(o, t))))
+
+    places = F.array_distinct(F.flatten(F.transform(known, lambda k: k["of"])))
+    return F.when(F.size(known) > 0, F.array_compact(F.transform(places, one))).otherwise(F.array().cast(_NO_HINTS))
+
+
+def _boxes(ns: Column, source: str) -> Column:
+    """Hints of eight S-box bytes in order: as eight literals, or as one of 64 bits in either order of bytes; the first of each box."""
+    small = lambda n: F.startswith(n["bits"], F.lit("00000000000000"))
+    codes = "ghijklmnopqrstuvwx"
+    windows = {name: [prefix[i : i + 16] for i in range(0, len(prefix) - 14, 2)] for name, prefix in BOXES}
+    # A window as a word and its turned word, by turns.
+    words = {name: [v for w in ws for v in (w, bytes.fromhex(w)[::-1].hex())] for name, ws in windows.items()}
+    all_words = [v for ws in words.values() for v in ws]
+
+    def one(name: str) -> Column:
+        # Two characters for each literal: its byte, or z and the number of its window, or signs that no window has.
+        code = lambda n: F.when(small(n), F.substring(n["bits"], 15, 2)).when(n["bits"].isin(words[name]), F.concat(F.lit("z"), F.substring(F.lit(codes), F.array_position(F.array(*map(F.lit, words[name])), n["bits"]).cast("int"), F.lit(1)))).otherwise("??")
+        marks = [f"z{c}" for c in codes[: len(words[name])]]
+        found = F.regexp_extract(F.array_join(F.transform(ns, code), ""), f"^(?:..)*?({'|'.join([*windows[name], *marks])})", 1)
+        window = lambda f: F.when(f.startswith("z"), F.get(F.array(*[F.lit(w) for w in windows[name] for _ in "ab"]), F.position(F.substring(f, 2, 1), F.lit(codes)) - 1)).otherwise(f)
+        hint = lambda f: F.struct(F.lit(source).alias("source"), F.lit(name).alias("signature"), F.lit("ordered_8_bytes").alias("strength"), F.lit(8).cast("long").alias("n_constants"), F.array(window(f)).alias("evidence"))
+        return let(found, lambda f: F.when(f != "", hint(f)))
+
+    may = (F.size(F.filter(ns, small)) >= 8) | F.exists(ns, lambda n: F.coalesce(n["bits"].isin(all_words), F.lit(False)))
+    return F.when(may, F.array_compact(F.array(*[one(name) for name, _ in BOXES]))).otherwise(F.array().cast(_NO_HINTS))
 
 
 HEAD = "/* --- Constant signature hints (not verified algorithm names) --- */"

@@ -199,3 +199,22 @@ def test_bootstrap_broadcasts_no_units_and_no_draws(spark):
         if "BroadcastExchange" in x:
             below = [y for j, y in enumerate(lines) if j > i and all(d > depth[i] for d in depth[i + 1 : j + 1])]
             assert not [y for y in below if "Window" in y or "Generate" in y]
+
+
+def test_constants_meet_in_no_task(spark):
+    from millrace.functions import constants
+
+    df = constants.constant_hints(spark.range(3).select("id", F.lit("0xfff1; 0x5a8279996ed9eba1").alias("c")), "id", {"code": ("c", False)})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {(r["id"], r["signature"], tuple(r["evidence"])) for r in df.collect()} == {(i, *h) for i in range(3) for h in (("adler32_modulus", ("0xfff1",)), ("sha1_round_k", ("0x5a827999", "0x6ed9eba1")))}
+
+
+def test_boxes_in_place_order(spark):
+    from millrace.functions import constants
+
+    box = bytes.fromhex(constants.BOXES[0][1])
+    texts = [", ".join(map(str, [7, *box[2:12]])), "0x" + box[3:11][::-1].hex() + ", 0x" + box[1:9].hex(), ", ".join(map(str, box[:7])) + ", 256, " + str(box[7]), "12345678901234567890123, " + ", ".join(f"{b:#x}" for b in box[8:])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, c string")
+    got = {r["id"]: r["evidence"] for r in constants.constant_hints(rows, "id", {"code": ("c", False)}).filter("strength = 'ordered_8_bytes'").collect()}
+    assert got == {0: [box[2:10].hex()], 1: [box[3:11].hex()], 3: [box[8:].hex()]}
