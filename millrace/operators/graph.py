@@ -96,6 +96,73 @@ def components(nodes: DataFrame, edges: DataFrame, scope: str, node: str) -> Dat
     return nodes.select(scope, node).distinct().groupBy(scope).cogroup(pairs.groupBy("_scope")).applyInPandas(run, schema)
 
 
+#: Nodes of a scope that one task takes as they are.
+AT_ONCE = 150_000
+
+
+def levels(nodes: DataFrame, edges: DataFrame, scope: str, node: str) -> DataFrame:
+    """(scope, node, level) as components() has them, for scopes of any size: while a scope has more than AT_ONCE nodes, those that
+    call nothing left (their level is known) and those that nothing left calls (their level follows last) are taken off. The rest,
+    with all cycles, goes to a task for each scope, so memory is bounded by what can not be taken off: rounds that take off less than
+    a tenth end this, as long chains and large cycles would take too many."""
+    left = cut(nodes.select(scope, node).distinct(), "nodes")
+    calls = cut(edges.select(scope, "src", "dst").distinct(), "calls")
+    none = left.limit(0).withColumn("level", F.lit(0).cast("long"))
+    done, tops = none, []
+    count = lambda df: df.groupBy(scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    most, total = count(left)
+    inner = calls
+    while most and most > AT_ONCE:
+        ends = lambda c: inner.select(scope, F.col(c).alias(node)).distinct().withColumn(f"_{c}", F.lit(True))  # noqa: B023, E731
+        marked = cut(left.join(ends("src"), [scope, node], "left").join(ends("dst"), [scope, node], "left"), "marked")
+        low = cut(_above(marked.filter("_src is null").select(scope, node), calls, done, scope, node), "low")
+        top = marked.filter("_src is not null and _dst is null").select(scope, node)
+        left = marked.filter("_src is not null and _dst is not null").select(scope, node)
+        inside = lambda c: left.select(scope, F.col(node).alias(c))  # noqa: B023, E731
+        inner = cut(inner.join(inside("src"), [scope, "src"], "left_semi").join(inside("dst"), [scope, "dst"], "left_semi"), "calls")
+        done = cut(done.unionByName(low), "done")
+        tops.append(top)
+        (most, now), before = count(left), total
+        total = now or 0
+        if total > before * 0.9:
+            break
+    # Callees of the rest that are done already lift it: each node starts at one above the highest of them.
+    base = _above(left, calls, done, scope, node).withColumnRenamed("level", "_base")
+    done = done.unionByName(_rest_levels(base, inner, scope, node))
+    for top in reversed(tops):
+        done = cut(done, "done")
+        done = done.unionByName(_above(top, calls, done, scope, node))
+    return done
+
+
+def _above(nodes: DataFrame, calls: DataFrame, done: DataFrame, scope: str, node: str) -> DataFrame:
+    """nodes with their level, one above the highest callee that is done, or 0."""
+    of = calls.join(done.select(scope, F.col(node).alias("dst"), "level"), [scope, "dst"]).groupBy(scope, F.col("src").alias(node)).agg((F.max("level") + 1).alias("level"))
+    return nodes.join(of, [scope, node], "left").select(scope, node, F.coalesce("level", F.lit(0).cast("long")).alias("level"))
+
+
+def _rest_levels(base: DataFrame, edges: DataFrame, scope: str, node: str) -> DataFrame:
+    """(scope, node, level) within a task for each scope; base: (scope, node, _base), the least level of each."""
+    kind, scope_kind = (base.schema[c].dataType.simpleString() for c in (node, scope))
+
+    def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        pairs = list(zip(e["src"], e["dst"], strict=True))
+        order = leaf_first(n[node].tolist(), pairs)
+        of = {v: i for i, c in enumerate(order) for v in c}
+        least = dict(zip(n[node], n["_base"], strict=True))
+        below = defaultdict(set)
+        for a, b in pairs:
+            if of[a] != of[b]:
+                below[of[a]].add(of[b])
+        level = []
+        for i, c in enumerate(order):
+            level.append(max(max(least[v] for v in c), max((level[j] + 1 for j in below[i]), default=0)))
+        return pd.DataFrame([(key[0], v, level[i]) for i, c in enumerate(order) for v in c], columns=[scope, node, "level"])
+
+    pairs = edges.select(F.col(scope).alias("_scope"), F.col("src").alias("_a"), F.col("dst").alias("_b")).toDF("_scope", "src", "dst")
+    return base.groupBy(scope).cogroup(pairs.groupBy("_scope")).applyInPandas(run, f"`{scope}` {scope_kind}, `{node}` {kind}, level long")
+
+
 def graph_stats(nodes: DataFrame, scope: str, node: str, targets: str) -> DataFrame:
     """One row: n_nodes, n_edges, n_missing (calls of nodes that are not there), n_leaves (no calls), n_sinks (no known callees),
     n_components, n_recursive. nodes: (scope, node, targets)."""

@@ -178,7 +178,7 @@ def propagated_names(spark, sf_dir):
     """Each function is named after itself and the name that its callee has got a level before."""
     nodes = table(spark, sf_dir, "part").select(F.lit(0).alias("scope"), F.col("p_partkey").alias("node"), F.array(F.floor(F.col("p_partkey") / 3).cast("long")).alias("calls"))
     edges, _ = graph.call_edges(nodes, ["scope"], "node", "calls")
-    levels = graph.components(nodes, edges, "scope", "node")
+    levels = graph.levels(nodes, edges, "scope", "node")
     callee = F.map_values("known")
     name = lambda rows: rows.withColumn("name", F.concat(F.col("node").cast("string"), F.coalesce(F.concat(F.lit("<"), F.get(callee, F.lit(0))), F.lit(""))))
     return graph.propagate(levels.select("node", "level"), edges, name, "node").select("node", "level", "name")
